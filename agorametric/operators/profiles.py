@@ -61,11 +61,12 @@ def stacked_counts(frame: DataFrame, columns: Sequence[str], weight: Column | No
 def category_profile(frame: DataFrame, columns: Sequence[str], share_digits: int = 4) -> DataFrame:
     """Stacked counts with each value's share of its column.
 
-    A column may hold any number of values, so its total is an aggregate joined back, not a window in one task.
+    A column may hold any number of values, so its total is an aggregate joined back, not a window in one task. The
+    totals are broadcast: they have one row for each of `columns`.
     """
     counts = stacked_counts(frame, columns)
     totals = counts.groupBy("col").agg(F.sum("n").alias("rows"))
-    return counts.join(totals, "col").select(
+    return counts.join(F.broadcast(totals), "col").select(
         "col",
         F.coalesce("val", F.lit("NULL")).alias("val"),
         "n",

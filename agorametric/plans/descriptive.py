@@ -13,8 +13,8 @@ from agorametric.operators.shares import with_share
 from agorametric.plans.marts import mart
 from agorametric.settings import DEFAULTS, Settings
 
-# Bins per unit of sentiment for the median: some two thousand bins, ten thousand possible scores in each.
-_BINS_PER_UNIT = 1000
+# Score bins per unit, a multiple of ten: some two thousand bins, ten thousand possible scores in each.
+BINS_PER_UNIT = 1000
 
 
 def kpis(cells: Cells, settings: Settings = DEFAULTS) -> DataFrame:
@@ -29,10 +29,19 @@ def volume_by_year(cells: Cells) -> DataFrame:
     return in_order(_distribution(cells, "tweet_year", "tweets", "pct_of_total"), "tweet_year")
 
 
-def sentiment_histogram(rows: Cells) -> DataFrame:
-    """Needs single posts. Buckets are lower edges; posts without a score have their own."""
-    bucket = tenth_bucket(F.col("sentiment_score")).alias("sentiment_bucket")
-    return in_order(_distribution(rows, bucket, "tweet_count"), "sentiment_bucket")
+def score_bins(rows: Cells) -> Cells:
+    """Posts merged by stance and narrow score bin: some thousand rows, worth storing next to the cells."""
+    bin_column = bin_of(F.col("sentiment_score"), BINS_PER_UNIT)
+    return Cells(rows.frame.withColumn("bin", bin_column)).merge("stance", "bin")
+
+
+def sentiment_histogram(cells: Cells) -> DataFrame:
+    """From single posts or from score bins. Buckets are lower edges; posts without a score have their own."""
+    if cells.merged:
+        bucket = tenth_bucket(F.col("bin").cast("decimal(12,0)") / F.lit(BINS_PER_UNIT))
+    else:
+        bucket = tenth_bucket(F.col("sentiment_score"))
+    return in_order(_distribution(cells, bucket.alias("sentiment_bucket"), "tweet_count"), "sentiment_bucket")
 
 
 def stances(cells: Cells) -> DataFrame:
@@ -65,21 +74,18 @@ def continents(cells: Cells) -> DataFrame:
     return in_order(_distribution(known, "continent", "tweets"), "-tweets", "continent")
 
 
-def sentiment_by_stance(rows: Cells) -> DataFrame:
-    """Needs single posts. One scan merges them into score bins, which give all figures but the median.
-
-    The median takes a second scan that keeps only the bins in the middle. Stance has four values.
-    """
-    binned = Cells(rows.frame.withColumn("bin", bin_of(F.col("sentiment_score"), _BINS_PER_UNIT))).merge("stance", "bin")
-    summary = binned.by("stance").agg(
-        binned.count().alias("tweets"),
-        F.round(binned.low("sentiment_score"), 4).alias("min_sentiment"),
-        F.round(binned.high("sentiment_score"), 4).alias("max_sentiment"),
-        binned.average("sentiment_score").alias("avg_sentiment"),
-        binned.deviation("sentiment_score").alias("stddev_sentiment"),
+def sentiment_by_stance(rows: Cells, bins: Cells | None = None) -> DataFrame:
+    """Needs single posts for the median only: a scan that keeps the bins in the middle. All else is in the bins."""
+    bins = bins or score_bins(rows)
+    summary = bins.by("stance").agg(
+        bins.count().alias("tweets"),
+        F.round(bins.low("sentiment_score"), 4).alias("min_sentiment"),
+        F.round(bins.high("sentiment_score"), 4).alias("max_sentiment"),
+        bins.average("sentiment_score").alias("avg_sentiment"),
+        bins.deviation("sentiment_score").alias("stddev_sentiment"),
     )
-    filled = binned.frame.where(F.col("bin").isNotNull())
-    medians = exact_median(rows.frame, filled, "stance", "sentiment_score", _BINS_PER_UNIT, "median")
+    scored = bins.frame.where(F.col("bin").isNotNull())
+    medians = exact_median(rows.frame, scored, "stance", "sentiment_score", BINS_PER_UNIT, "median")
     joined = summary.join(medians, "stance", "left").select(
         *summary.columns, F.round("median", 4).alias("median_sentiment")
     )

@@ -10,6 +10,7 @@ from agorametric.operators.cells import DIMENSIONS, Cells
 from agorametric.operators.keys import require_key
 from agorametric.plans import marts, validation
 from agorametric.plans.cleaning import clean
+from agorametric.plans.descriptive import score_bins
 from agorametric.settings import DEFAULTS, Settings
 from agorametric.sources import tables
 from agorametric.sources.delimited import read_raw_csv
@@ -21,6 +22,7 @@ class Tables(NamedTuple):
     raw: str
     clean: str
     cells: str
+    bins: str
     marts: str
 
 
@@ -45,16 +47,21 @@ def load_clean(spark: SparkSession, folder: str, settings: Settings = DEFAULTS)
 
 
 def merge_cells(spark: SparkSession, folder: str) -> None:
-    """One scan of the clean table into one row per combination of dimensions, from which all marts are built."""
+    """One row per combination of dimensions, from which all marts are built, and one per stance and score bin."""
     at = locations(folder)
-    cells = Cells.of_rows(tables.read_clean(spark, at.clean)).merge(*DIMENSIONS)
-    cells.frame.write.mode("overwrite").parquet(at.cells)
+    rows = Cells.of_rows(tables.read_clean(spark, at.clean))
+    rows.merge(*DIMENSIONS).frame.write.mode("overwrite").parquet(at.cells)
+    score_bins(rows).frame.write.mode("overwrite").parquet(at.bins)
 
 
 def read_cells(spark: SparkSession, folder: str) -> Cells:
     return Cells(spark.read.parquet(locations(folder).cells), merged=True)
 
 
+def read_bins(spark: SparkSession, folder: str) -> Cells:
+    return Cells(spark.read.parquet(locations(folder).bins), merged=True)
+
+
 def publish_marts(cells: Cells, folder: str, settings: Settings = DEFAULTS) -> None:
     """Each mart as a Parquet table for dashboards."""
     for name in marts.MARTS:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
@@ -31,6 +33,22 @@ def local_session(cores: int | str = "*", memory: str = "8g") -> SparkSession:
     return configure(spark)
 
 
+@contextmanager
+def temporary_settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    """Runtime settings for the jobs started inside the block."""
+    before = {key: spark.conf.get(key, None) for key in values}
+    for key, value in values.items():
+        spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        for key, value in before.items():
+            if value is None:
+                spark.conf.unset(key)
+            else:
+                spark.conf.set(key, value)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path under the folder the cluster shares (`spark.checkpoint.dir`).
 
