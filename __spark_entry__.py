@@ -10,6 +10,7 @@ from __future__ import annotations
 import sys
 from collections.abc import Callable
 from dataclasses import replace
+from functools import partial
 from pathlib import Path
 
 from pyspark.errors import AnalysisException
@@ -91,7 +92,7 @@ def _reconciled(spark: SparkSession, folder: str) -> DataFrame:
 
 _ON_RAW = {
     "raw_row_count": staging.row_count,
-    "raw_preview": staging.preview,
+    "raw_preview": partial(staging.preview, by_id=True),
     "audit_created_at_format": audit.created_at_format,
     "audit_id": audit.ids,
     "audit_lat": audit.latitude,
@@ -127,7 +128,7 @@ _ON_CLEAN = {
     "diag_aggr_by_stance": diagnostic.aggression_by_stance,
     "diag_aggr_by_gender": diagnostic.aggression_by_gender,
     "diag_correlations": diagnostic.correlations,
-    "diag_hotspots": lambda cells: diagnostic.hotspots(cells, _SAMPLE),
+    "diag_hotspots": partial(diagnostic.hotspots, settings=_SAMPLE),
     "diag_temp_by_year": diagnostic.temperature_by_year,
     "diag_stance_by_region": diagnostic.stance_by_region,
     "diag_topic_top3": diagnostic.leading_topics,

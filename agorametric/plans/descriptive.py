@@ -75,16 +75,16 @@ def continents(cells: Cells) -> DataFrame:
 
 
 def sentiment_by_stance(rows: Cells, bins: Cells | None = None) -> DataFrame:
-    """Needs single posts for the median only: a scan that keeps the bins in the middle. All else is in the bins."""
-    bins = bins or score_bins(rows)
-    summary = bins.by("stance").agg(
-        bins.count().alias("tweets"),
-        F.round(bins.low("sentiment_score"), 4).alias("min_sentiment"),
-        F.round(bins.high("sentiment_score"), 4).alias("max_sentiment"),
-        bins.average("sentiment_score").alias("avg_sentiment"),
-        bins.deviation("sentiment_score").alias("stddev_sentiment"),
+    """The median needs single posts; with stored bins all else comes from those."""
+    source = bins or rows
+    summary = source.by("stance").agg(
+        source.count().alias("tweets"),
+        F.round(source.low("sentiment_score"), 4).alias("min_sentiment"),
+        F.round(source.high("sentiment_score"), 4).alias("max_sentiment"),
+        source.average("sentiment_score").alias("avg_sentiment"),
+        source.deviation("sentiment_score").alias("stddev_sentiment"),
     )
-    scored = bins.frame.where(F.col("bin").isNotNull())
+    scored = (bins or score_bins(rows)).frame.where(F.col("bin").isNotNull())
     medians = exact_median(rows.frame, scored, "stance", "sentiment_score", BINS_PER_UNIT, "median")
     joined = summary.join(medians, "stance", "left").select(
         *summary.columns, F.round("median", 4).alias("median_sentiment")

@@ -13,6 +13,6 @@ def row_count(raw: DataFrame) -> DataFrame:
     return raw.agg(F.count(F.lit(1)).alias("total_imported_rows"))
 
 
-def preview(raw: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
-    """A few rows, always the same ones."""
-    return top(raw, settings.preview_rows, "id")
+def preview(raw: DataFrame, settings: Settings = DEFAULTS, by_id: bool = False) -> DataFrame:
+    """A few rows: the first at hand, or with `by_id` always the same ones, which reads the whole table."""
+    return top(raw, settings.preview_rows, "id") if by_id else raw.limit(settings.preview_rows)

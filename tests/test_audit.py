@@ -83,7 +83,8 @@ def test_most_frequent_formats_are_cut_and_ordered(raw_rows):
 
 def test_preview_and_count(raw_rows):
     frame = raw_rows(*({"id": at} for at in range(30, 0, -1)))
-    assert [row["id"] for row in staging.preview(frame).collect()] == list(range(1, 11))
+    assert [row["id"] for row in staging.preview(frame, by_id=True).collect()] == list(range(1, 11))
+    assert staging.preview(frame).count() == 10
     assert staging.row_count(frame).head()["total_imported_rows"] == 30
 
 

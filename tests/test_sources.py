@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 from pathlib import Path
+from types import SimpleNamespace
 
 import pytest
 from conftest import plan_of
@@ -100,3 +101,16 @@ def test_settings_return_to_what_they_were(spark):
 
 def test_scratch_paths_are_fresh(spark):
     assert scratch_path(spark, "x") != scratch_path(spark, "x")
+
+
+def _session(master, **conf):
+    return SimpleNamespace(
+        conf=SimpleNamespace(get=lambda key, default: conf.get("folder", default)),
+        sparkContext=SimpleNamespace(master=master, applicationId="app-1"),
+    )
+
+
+def test_scratch_paths_lie_in_the_shared_folder():
+    assert scratch_path(_session("spark://host", folder="hdfs://shared/dir/"), "x").startswith("hdfs://shared/dir/x-")
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        scratch_path(_session("spark://host"), "x")
