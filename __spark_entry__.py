@@ -138,7 +138,7 @@ _ON_CLEAN = {
 
 _STORED = {
     "ingest_csv": _ingested,
-    "clean_layout": _clean_table,
+    "clean_layout": lambda spark, folder: _clean_table(spark, folder),
     "clean_reconcile": _reconciled,
     "mart_from_cells": _published,
 }

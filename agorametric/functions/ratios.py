@@ -7,6 +7,17 @@ from pyspark.sql import functions as F
 
 COUNT = "decimal(19,0)"
 TOTAL = "decimal(24,7)"
+UNITS_PER_ONE = 10_000_000
+
+
+def units(measure: Column) -> Column:
+    """A measure as whole ten-millionths, its last decimal place."""
+    return (measure * F.lit(UNITS_PER_ONE)).cast("bigint")
+
+
+def steps_down(count: Column, width: int) -> Column:
+    """Whole steps of this width in a whole number, rounded down also below zero."""
+    return ((count - F.pmod(count, F.lit(width))) / F.lit(width)).cast("bigint")
 
 
 def quotient(total: Column, count: Column) -> Column:

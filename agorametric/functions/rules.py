@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from agorametric.functions.ratios import UNITS_PER_ONE, steps_down, units
 from agorametric.settings import SEASON_MONTHS, Settings
 
 
@@ -40,6 +41,11 @@ def in_study_years(year: Column, settings: Settings) -> Column:
     return year.between(settings.first_year, settings.last_year)
 
 
-def tenth_bucket(score: Column) -> Column:
-    """Lower edge of the 0.1-wide bucket; negatives go down, so -0.05 is in -0.1."""
-    return (F.floor(score * 10).cast("decimal(6,0)") * F.lit("0.1").cast("decimal(1,1)")).cast("decimal(7,1)")
+def score_bin(score: Column, per_one: int) -> Column:
+    """Number of the score's bin when there are this many in 1. Whole numbers throughout; decimals are slow to floor."""
+    return steps_down(units(score), UNITS_PER_ONE // per_one)
+
+
+def bucket_edge(tenths: Column) -> Column:
+    """Lower edge of a 0.1-wide bucket, given its number."""
+    return (tenths.cast("decimal(6,0)") * F.lit("0.1").cast("decimal(1,1)")).cast("decimal(7,1)")

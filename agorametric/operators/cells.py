@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, GroupedData
 from pyspark.sql import functions as F
 
-from agorametric.functions.ratios import COUNT, TOTAL, quotient, rounded
+from agorametric.functions.ratios import COUNT, TOTAL, quotient, rounded, units
 
 MEASURES = ("sentiment_score", "temperature_avg")
 
@@ -99,9 +99,9 @@ class Cells:
         """
         if self.merged:
             return F.sum(_only(condition, F.col(f"{measure}_sum"))).cast(TOTAL)
-        units = _only(condition, (F.col(measure) * F.lit(10_000_000)).cast("bigint"))
-        upper = F.sum(F.shiftright(units, _LOW_BITS)).cast(COUNT)
-        lower = F.sum(units.bitwiseAND(F.lit((1 << _LOW_BITS) - 1))).cast(COUNT)
+        whole = _only(condition, units(F.col(measure)))
+        upper = F.sum(F.shiftright(whole, _LOW_BITS)).cast(COUNT)
+        lower = F.sum(whole.bitwiseAND(F.lit((1 << _LOW_BITS) - 1))).cast(COUNT)
         return ((upper * F.lit(1 << _LOW_BITS) + lower) * F.lit("0.0000001").cast("decimal(7,7)")).cast(TOTAL)
 
     def squares(self, measure: str, condition: Column | None = None) -> Column:

@@ -6,15 +6,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def bin_of(value: Column, per_unit: int) -> Column:
-    return F.floor(value * per_unit)
-
-
-def exact_median(rows: DataFrame, bins: DataFrame, key: str, value: str, per_unit: int, name: str) -> DataFrame:
+def exact_median(rows: DataFrame, bins: DataFrame, key: str, value: str, bin_of: Column, name: str) -> DataFrame:
     """Median by interpolation: the mean of the two middle values.
 
-    `bins` holds, for each value of `key` and each `bin_of(value)`, the number `n` of values in it. Running counts over
-    the bins tell which one or two hold the middle ranks; only rows of those bins are then counted value by value.
+    `bins` holds, for each value of `key` and each value of the monotonic expression `bin_of`, the number `n` of values.
+    Running counts over the bins tell which one or two hold the middle ranks; only rows of those bins are then counted
+    value by value.
     `key` must have a small fixed domain: what is broadcast has at most two rows for each of its values.
     """
     ordered = Window.partitionBy(key).orderBy("bin")
@@ -32,7 +29,7 @@ def exact_median(rows: DataFrame, bins: DataFrame, key: str, value: str, per_uni
     )
     candidates = (
         rows.where(F.col(value).isNotNull())
-        .select(key, value, bin_of(F.col(value), per_unit).alias("bin"))
+        .select(key, value, bin_of.alias("bin"))
         .join(F.broadcast(middle.select(key, "bin", "before", "lower", "upper")), [key, "bin"])
         .groupBy(key, "bin", "before", "lower", "upper", value)
         .agg(F.count(F.lit(1)).alias("n"))

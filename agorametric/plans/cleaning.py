@@ -39,5 +39,5 @@ def clean(raw: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
         }
     )
     # Derived labels are constants that fit; only the topic comes from the input.
-    derived = derived.withColumn("topic", within_length(F.col("topic"), settings.text_limits["topic"], "topic"))
+    derived = derived.withColumn("topic", within_length(F.col("topic"), settings.topic_length, "topic"))
     return derived.select(*CLEAN.names)

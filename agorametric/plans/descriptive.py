@@ -5,16 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from agorametric.functions.rules import tenth_bucket
+from agorametric.functions.ratios import steps_down
+from agorametric.functions.rules import bucket_edge, score_bin
 from agorametric.operators.cells import Cells
 from agorametric.operators.ordering import in_order
-from agorametric.operators.quantiles import bin_of, exact_median
+from agorametric.operators.quantiles import exact_median
 from agorametric.operators.shares import with_share
 from agorametric.plans.marts import mart
 from agorametric.settings import DEFAULTS, Settings
 
-# Score bins per unit, a multiple of ten: some two thousand bins, ten thousand possible scores in each.
-BINS_PER_UNIT = 1000
+# A multiple of ten: some two thousand bins, ten thousand possible scores in each.
+BINS_PER_ONE = 1000
 
 
 def kpis(cells: Cells, settings: Settings = DEFAULTS) -> DataFrame:
@@ -29,18 +30,19 @@ def volume_by_year(cells: Cells) -> DataFrame:
     return in_order(_distribution(cells, "tweet_year", "tweets", "pct_of_total"), "tweet_year")
 
 
+def _bin() -> Column:
+    return score_bin(F.col("sentiment_score"), BINS_PER_ONE)
+
+
 def score_bins(rows: Cells) -> Cells:
     """Posts merged by stance and narrow score bin: some thousand rows, worth storing next to the cells."""
-    bin_column = bin_of(F.col("sentiment_score"), BINS_PER_UNIT)
-    return Cells(rows.frame.withColumn("bin", bin_column)).merge("stance", "bin")
+    return Cells(rows.frame.withColumn("bin", _bin())).merge("stance", "bin")
 
 
 def sentiment_histogram(cells: Cells) -> DataFrame:
     """From single posts or from score bins. Buckets are lower edges; posts without a score have their own."""
-    if cells.merged:
-        bucket = tenth_bucket(F.col("bin").cast("decimal(12,0)") / F.lit(BINS_PER_UNIT))
-    else:
-        bucket = tenth_bucket(F.col("sentiment_score"))
+    tenths = steps_down(F.col("bin"), BINS_PER_ONE // 10) if cells.merged else score_bin(F.col("sentiment_score"), 10)
+    bucket = bucket_edge(tenths)
     return in_order(_distribution(cells, bucket.alias("sentiment_bucket"), "tweet_count"), "sentiment_bucket")
 
 
@@ -85,7 +87,7 @@ def sentiment_by_stance(rows: Cells, bins: Cells | None = None) -> DataFrame:
         source.deviation("sentiment_score").alias("stddev_sentiment"),
     )
     scored = (bins or score_bins(rows)).frame.where(F.col("bin").isNotNull())
-    medians = exact_median(rows.frame, scored, "stance", "sentiment_score", BINS_PER_UNIT, "median")
+    medians = exact_median(rows.frame, scored, "stance", "sentiment_score", _bin(), "median")
     joined = summary.join(medians, "stance", "left").select(
         *summary.columns, F.round("median", 4).alias("median_sentiment")
     )

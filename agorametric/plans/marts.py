@@ -64,8 +64,11 @@ def kpi_summary(cells: Cells, settings: Settings = DEFAULTS) -> DataFrame:
 
 
 def yearly_change(groups: DataFrame, mean: str) -> Column:
-    """Unrounded change of a mean against the previous year present. At most one row per year is in the window."""
-    return F.col(mean) - F.lag(mean).over(Window.orderBy("tweet_year"))
+    """Unrounded change of a mean against the previous year present, posts without a year coming last.
+
+    At most one row per year is in the window.
+    """
+    return F.col(mean) - F.lag(mean).over(Window.orderBy(F.col("tweet_year").asc_nulls_last()))
 
 
 def yearly_trends(cells: Cells, settings: Settings = DEFAULTS) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from decimal import Decimal
 from typing import NamedTuple
 
@@ -60,16 +60,7 @@ class Settings:
     hotspot_above: int = 500
     hotspot_top: int = 20
     topics_per_year: int = 3
-    text_limits: dict[str, int] = field(
-        default_factory=lambda: {
-            "topic": 100,
-            "sentiment_category": 20,
-            "stance": 20,
-            "gender": 20,
-            "aggressiveness": 20,
-            "continent": 30,
-        }
-    )
+    topic_length: int = 100
 
 
 DEFAULTS = Settings()

@@ -499,7 +499,7 @@ def _diagnostic_statements() -> dict[str, str]:
         f" FROM ({_MONTHS}) GROUP BY season",
         "diag_event_period": grouped(
             "['Pre-Paris (2006-2014)', 'Paris Agreement Year (2015)', 'Post-Paris (2016-2022)']"
-            "[2 + CAST(sign(y - 2015) AS INT)] AS period",
+            "[2 + CAST(coalesce(sign(y - 2015), 1) AS INT)] AS period",
             {
                 "tweets": whole("count(*)"),
                 **_MEAN,

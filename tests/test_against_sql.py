@@ -10,7 +10,7 @@ import __spark_entry__ as entry_points
 QUERIES, STATEMENTS = entry_points.queries(), entry_points.oracle_sql()
 
 
-def _comparable(names, rows):
+def comparable(names, rows):
     order = sorted(range(len(names)), key=lambda at: names[at])
     picked = [tuple(row[at] for at in order) for row in rows]
     return sorted(names), sorted(picked, key=lambda row: tuple((value is None, str(value)) for value in row))
@@ -26,7 +26,7 @@ def test_same_result(spark, duck, name):
     result = duck.execute(STATEMENTS[name])
     names = [column[0] for column in result.description]
     assert frame.columns == names
-    assert _comparable(frame.columns, frame.collect()) == _comparable(names, result.fetchall())
+    assert comparable(frame.columns, frame.collect()) == comparable(names, result.fetchall())
 
 
 def test_entry(spark):

@@ -1,0 +1,66 @@
+"""Every query over random rows full of edge values, against its statement over the same rows."""
+
+from __future__ import annotations
+
+import random
+
+import duckdb
+import pytest
+from test_against_sql import comparable
+
+import __spark_entry__ as entry_points
+from agorametric.plans.cleaning import clean
+from agorametric.schemas import RAW
+from agorametric.sources import tables
+from agorametric.sources.sample_posts import SQL as SAMPLE_SQL
+
+QUERIES, STATEMENTS = entry_points.queries(), entry_points.oracle_sql()
+
+CHOICES = {
+    "created_at": [None, "2014-12-31 23:59:59+00:00", "2015-01-01 00:00:00+00:00", "2016-02-29 12:00:00+00:00"]
+    + [f"{year}-{month:02d}-{month + 9} 0{month % 10}:30:00+00:00" for year in range(2005, 2021) for month in (1, 5, 8, 12)],
+    "lng": [None, "", "  ", "-170", "-90", "-50", "-30", "-25", "-20", "40", "55", "110", "180", "9e-05", "0", "-0.0"],
+    "lat": [None, "", " ", "-60", "-50", "-35", "-5", "5", "15", "15.0000001", "35", "37", "70", "72", "80", "90", "91"],
+    "topic": [None, "politics", " POLITICS", "co-op o'neil", "a/b  c", "NULL", "3d printing", "(x)"],
+    "sentiment": [None, "0.05", "-0.05", "0.0500001", "-0.0500001", "0", "-0.0", "0.1", "1", "-1", "5e-05", "-0.00005"],
+    "stance": [None, "believer", "Believer", " DENIER ", "denier", "neutral", "NULL", "\tdenier"],
+    "gender": [None, "male", "Female ", "undefined"],
+    "temperature_avg": [None, "", "0", "-23.289", "21.004", "-3.1493975e-05", "0.0005", "-0.0005"],
+    "aggressiveness": [None, "aggressive", "Not Aggressive", "not aggressive", "calm"],
+}
+
+
+def _rows(seed, count):
+    pick = random.Random(seed)
+    rows = []
+    for at in range(count):
+        row = {name: pick.choice(values) for name, values in CHOICES.items()}
+        if pick.random() < 0.6:
+            row["sentiment"] = f"{pick.uniform(-1, 1):.7f}"
+        if pick.random() < 0.3:
+            row["temperature_avg"] = f"{pick.uniform(-20, 20):.5f}"
+        row["id"] = at
+        rows.append(tuple(row[name] for name in RAW.names))
+    return rows
+
+
+@pytest.fixture(scope="module", params=[(1, 4000), (2, 60), (3, 1)], ids=lambda param: f"{param[1]} rows")
+def given(request, spark, tmp_path_factory):
+    folder = str(tmp_path_factory.mktemp("dirty"))
+    tables.write_raw(spark.createDataFrame(_rows(*request.param), RAW), folder + "/raw")
+    raw = tables.read_raw(spark, folder + "/raw")
+    clean(raw).write.parquet(folder + "/clean")
+    connection = duckdb.connect()
+    connection.execute(f"CREATE TABLE given AS SELECT * FROM '{folder}/raw/*.parquet'")
+    return raw, spark.read.parquet(folder + "/clean"), connection
+
+
+@pytest.mark.parametrize("name", sorted(QUERIES))
+def test_same_result(spark, given, monkeypatch, name):
+    raw, cleaned, connection = given
+    monkeypatch.setattr(entry_points, "sample_raw", lambda *_: raw)
+    monkeypatch.setattr(entry_points, "_clean_table", lambda *_: cleaned)
+    result = connection.execute(STATEMENTS[name].replace(SAMPLE_SQL, "SELECT * FROM given"))
+    names = [column[0] for column in result.description]
+    frame = QUERIES[name](spark, "")
+    assert comparable(frame.columns, frame.collect()) == comparable(names, result.fetchall())

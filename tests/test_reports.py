@@ -10,8 +10,12 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from agorametric.functions.rules import score_bin
 from agorametric.operators.cells import DIMENSIONS, Cells
+from agorametric.operators.quantiles import exact_median
 from agorametric.plans import descriptive, diagnostic, marts, validation
+from agorametric.plans.cleaning import clean
+from agorametric.schemas import RAW
 from agorametric.settings import DEFAULTS
 
 
@@ -169,7 +173,7 @@ def test_median_equals_brute_force(cells_of, groups):
     random.Random(1).shuffle(rows)
     cells = cells_of(*rows)
     bins = descriptive.score_bins(cells).frame
-    found = descriptive.exact_median(cells.frame, bins, "stance", "sentiment_score", descriptive.BINS_PER_UNIT, "median")
+    found = exact_median(cells.frame, bins, "stance", "sentiment_score", score_bin(F.col("sentiment_score"), 1000), "median")
     expected = {
         stance.title() if stance != "other" else "Unknown": statistics.median(map(Decimal, scores)).scaleb(-7)
         for stance, scores in groups.items()
@@ -177,6 +181,40 @@ def test_median_equals_brute_force(cells_of, groups):
     assert {row["stance"]: row["median"] for row in found.collect()} == expected
 
 
+def test_a_third_of_all_posts_alike(spark, raw_rows):
+    """One topic, year, stance and score hold a third of the posts; every figure agrees with built-in aggregates."""
+    many = raw_rows({}).select(*(F.col(name) for name in RAW.names if name != "id"))
+    many = many.withColumn("id", F.explode(F.sequence(F.lit(1).cast("bigint"), F.lit(60_000).cast("bigint"))))
+    spread = F.col("id") % 3 != 0
+    many = many.withColumns(
+        {
+            "sentiment": F.when(spread, ((F.col("id") * 7919) % 1_999_999 - 999_999).cast("decimal(9,0)") / 1_000_000)
+            .otherwise(F.lit(0.1234567))
+            .cast("decimal(10,7)")
+            .cast("string"),
+            "stance": F.when(spread, F.element_at(F.array(*map(F.lit, ("denier", "neutral", "x"))), (F.col("id") % 3 + 1).cast("int"))).otherwise("believer"),
+            "created_at": F.when(spread, F.concat((2006 + F.col("id") % 14).cast("string"), F.lit("-05-05 00:00:00+00:00"))).otherwise(F.col("created_at")),
+        }
+    )
+    cells = Cells.of_rows(clean(many.select(*RAW.names)))
+    expected = {
+        row["stance"]: (row["n"], row["median"], row["mean"])
+        for row in cells.frame.groupBy("stance")
+        .agg(
+            F.count(F.lit(1)).alias("n"),
+            F.round(F.expr("CAST(percentile(sentiment_score, 0.5) AS DECIMAL(20,9))"), 4).alias("median"),
+            F.round(F.sum("sentiment_score") / F.count("sentiment_score"), 4).alias("mean"),
+        )
+        .collect()
+    }
+    found = {
+        row["stance"]: (row["tweets"], row["median_sentiment"], row["avg_sentiment"])
+        for row in descriptive.sentiment_by_stance(cells).collect()
+    }
+    assert found == expected
+    assert marts.kpi_summary(cells).head()["total_tweets"] == 60_000
+
+
 def test_shares_and_counts_add_up(posts):
     for report in (descriptive.stances, descriptive.genders, descriptive.continents, descriptive.topics):
         assert abs(sum(row["pct"] for row in report(posts).collect()) - 100) <= Decimal("0.05")
