@@ -35,12 +35,12 @@ def stage(spark: SparkSession, csv: str, folder: str, multi_line: bool = False)
     tables.write_raw(read_raw_csv(spark, csv, multi_line), locations(folder).raw)
 
 
-def load_clean(spark: SparkSession, folder: str, settings: Settings = DEFAULTS) -> None:
-    """Replaces the clean table. The key is checked first on the staged ids, one column, so a bad load writes nothing."""
+def load_clean(spark: SparkSession, folder: str, settings: Settings = DEFAULTS, gather: bool = True) -> None:
+    """Replaces the clean table. The key is checked first, on the one staged column, so a bad load writes nothing."""
     at = locations(folder)
     raw = tables.read_raw(spark, at.raw)
     require_key(raw, "id")
-    tables.write_clean(clean(raw, settings), at.clean)
+    tables.write_clean(clean(raw, settings), at.clean, gather)
     counts = validation.reconcile(raw, tables.read_clean(spark, at.clean)).head()
     if counts["difference"] != 0:
         raise ValueError(f"staged {counts['raw_rows']} rows but stored {counts['clean_rows']}")

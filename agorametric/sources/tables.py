@@ -10,28 +10,31 @@ from agorametric.session import temporary_settings
 # Shuffled bytes behind one file of the clean table; Parquet stores them in about a third.
 FILE_BYTES = "768MB"
 
+# Half the size of the default codec at the same speed, both ways.
+CODEC = "zstd"
+
 
 def write_raw(raw: DataFrame, path: str) -> None:
-    raw.write.mode("overwrite").parquet(path)
+    raw.write.mode("overwrite").option("compression", CODEC).parquet(path)
 
 
 def read_raw(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(RAW).parquet(path)
 
 
-def write_clean(clean: DataFrame, path: str, file_bytes: str = FILE_BYTES) -> None:
+def write_clean(clean: DataFrame, path: str, gather: bool = True, file_bytes: str = FILE_BYTES) -> None:
     """Partitioned by year and sorted inside files by the other filter columns.
 
     The rebalance hint gathers each year's rows into files of about that size. A year with most of the rows is split
-    over many tasks, and a small one is a single file.
+    over many tasks, and a small one is a single file. Input files that are in time order already hold few years each;
+    `gather=False` saves the shuffle for those.
     """
-    with temporary_settings(
-        clean.sparkSession, {"spark.sql.adaptive.advisoryPartitionSizeInBytes": file_bytes}
-    ):
+    rows = clean.hint("rebalance", "tweet_year") if gather else clean
+    with temporary_settings(clean.sparkSession, {"spark.sql.adaptive.advisoryPartitionSizeInBytes": file_bytes}):
         (
-            clean.hint("rebalance", "tweet_year")
-            .sortWithinPartitions("tweet_year", "topic", "continent")
+            rows.sortWithinPartitions("tweet_year", "topic", "continent")
             .write.mode("overwrite")
+            .option("compression", CODEC)
             .partitionBy("tweet_year")
             .parquet(path)
         )

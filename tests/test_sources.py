@@ -70,6 +70,13 @@ def test_clean_layout(spark, sample, tmp_path):
     assert all(len(list(folder.glob("*.parquet"))) == 1 for folder in Path(path).glob("tweet_year=*"))
 
 
+def test_layout_without_gathering(spark, sample, tmp_path):
+    path = str(tmp_path / "clean")
+    rows = clean(sample)
+    tables.write_clean(rows, path, gather=False)
+    assert _difference(tables.read_clean(spark, path), rows) == 0
+
+
 def test_a_hot_year_is_split_over_many_files(spark, sample, tmp_path):
     path = str(tmp_path / "clean")
     rows = clean(sample.withColumn("id", F.explode(F.sequence(F.lit(1), F.lit(40)))).repartition(32))
