@@ -1,23 +1,24 @@
-"""Exact median of a decimal measure per group, without gathering a group's values in one task."""
+"""Exact median of a measure per group, without gathering a group's values in one task."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def exact_median(rows: DataFrame, bins: DataFrame, key: str, value: str, bin_of: Column, name: str) -> DataFrame:
+def exact_median(rows: DataFrame, bins: DataFrame, key: str, value: str, name: str) -> DataFrame:
     """Median by interpolation: the mean of the two middle values.
 
-    `bins` holds, for each value of `key` and each value of the monotonic expression `bin_of`, the number `n` of values.
-    Running counts over the bins tell which one or two hold the middle ranks; only rows of those bins are then counted
-    value by value.
-    `key` must have a small fixed domain: what is broadcast has at most two rows for each of its values.
+    `bins` cuts each group's values into ranges that do not overlap: for each range its number `n` of values and the
+    `low` and `high` one. Running counts over the ranges tell which one or two hold the middle ranks; only rows in
+    those are then counted value by value. `key` must have a small fixed domain: what is broadcast has at most two
+    rows for each of its values.
     """
-    ordered = Window.partitionBy(key).orderBy("bin")
+    ordered = Window.partitionBy(key).orderBy("low")
     ranked = bins.select(
-        key,
-        "bin",
+        F.col(key).alias("group"),
+        "low",
+        "high",
         (F.sum("n").over(ordered) - F.col("n")).alias("before"),
         F.sum("n").over(ordered).alias("upto"),
         F.sum("n").over(Window.partitionBy(key)).alias("size"),
@@ -27,15 +28,14 @@ def exact_median(rows: DataFrame, bins: DataFrame, key: str, value: str, bin_of:
         ((F.col("before") <= F.col("lower")) & (F.col("lower") < F.col("upto")))
         | ((F.col("before") <= F.col("upper")) & (F.col("upper") < F.col("upto")))
     )
+    within_range = (F.col(key) == F.col("group")) & F.col(value).between(F.col("low"), F.col("high"))
     candidates = (
-        rows.where(F.col(value).isNotNull())
-        .select(key, value, bin_of.alias("bin"))
-        .join(F.broadcast(middle.select(key, "bin", "before", "lower", "upper")), [key, "bin"])
-        .groupBy(key, "bin", "before", "lower", "upper", value)
+        rows.select(key, value)
+        .join(F.broadcast(middle.select("group", "low", "high", "before", "lower", "upper")), within_range)
+        .groupBy(key, "low", "before", "lower", "upper", value)
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    within = Window.partitionBy(key, "bin").orderBy(value)
-    upto = F.col("before") + F.sum("n").over(within)
+    upto = F.col("before") + F.sum("n").over(Window.partitionBy(key, "low").orderBy(value))
     placed = candidates.select(key, value, "lower", "upper", (upto - F.col("n")).alias("start"), upto.alias("stop"))
     at_lower = (F.col("start") <= F.col("lower")) & (F.col("lower") < F.col("stop"))
     at_upper = (F.col("start") <= F.col("upper")) & (F.col("upper") < F.col("stop"))

@@ -30,13 +30,10 @@ def volume_by_year(cells: Cells) -> DataFrame:
     return in_order(_distribution(cells, "tweet_year", "tweets", "pct_of_total"), "tweet_year")
 
 
-def _bin() -> Column:
-    return score_bin(F.col("sentiment_score"), BINS_PER_ONE)
-
-
 def score_bins(rows: Cells) -> Cells:
     """Posts merged by stance and narrow score bin: some thousand rows, worth storing next to the cells."""
-    return Cells(rows.frame.withColumn("bin", _bin())).merge("stance", "bin")
+    bin_number = score_bin(F.col("sentiment_score"), BINS_PER_ONE)
+    return Cells(rows.frame.withColumn("bin", bin_number)).merge("stance", "bin")
 
 
 def sentiment_histogram(cells: Cells) -> DataFrame:
@@ -76,6 +73,16 @@ def continents(cells: Cells) -> DataFrame:
     return in_order(_distribution(known, "continent", "tweets"), "-tweets", "continent")
 
 
+def _ranges(bins: Cells) -> DataFrame:
+    """Score ranges by stance. Posts without a score make one without values."""
+    return bins.frame.select(
+        "stance",
+        F.col("sentiment_score_n").alias("n"),
+        F.col("sentiment_score_low").alias("low"),
+        F.col("sentiment_score_high").alias("high"),
+    )
+
+
 def sentiment_by_stance(rows: Cells, bins: Cells | None = None) -> DataFrame:
     """The median needs single posts; with stored bins all else comes from those."""
     source = bins or rows
@@ -86,8 +93,7 @@ def sentiment_by_stance(rows: Cells, bins: Cells | None = None) -> DataFrame:
         source.average("sentiment_score").alias("avg_sentiment"),
         source.deviation("sentiment_score").alias("stddev_sentiment"),
     )
-    scored = (bins or score_bins(rows)).frame.where(F.col("bin").isNotNull())
-    medians = exact_median(rows.frame, scored, "stance", "sentiment_score", _bin(), "median")
+    medians = exact_median(rows.frame, _ranges(bins or score_bins(rows)), "stance", "sentiment_score", "median")
     joined = summary.join(medians, "stance", "left").select(
         *summary.columns, F.round("median", 4).alias("median_sentiment")
     )

@@ -10,7 +10,6 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from agorametric.functions.rules import score_bin
 from agorametric.operators.cells import DIMENSIONS, Cells
 from agorametric.operators.quantiles import exact_median
 from agorametric.plans import descriptive, diagnostic, marts, validation
@@ -172,8 +171,9 @@ def test_median_equals_brute_force(cells_of, groups):
     ]
     random.Random(1).shuffle(rows)
     cells = cells_of(*rows)
-    bins = descriptive.score_bins(cells).frame
-    found = exact_median(cells.frame, bins, "stance", "sentiment_score", score_bin(F.col("sentiment_score"), 1000), "median")
+    found = exact_median(
+        cells.frame, descriptive._ranges(descriptive.score_bins(cells)), "stance", "sentiment_score", "median"
+    )
     expected = {
         stance.title() if stance != "other" else "Unknown": statistics.median(map(Decimal, scores)).scaleb(-7)
         for stance, scores in groups.items()
