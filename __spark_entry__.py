@@ -30,6 +30,15 @@ from agorametric.sources import tables  # noqa: E402
 from agorametric.sources.delimited import read_raw_csv, write_raw_csv  # noqa: E402
 from agorametric.sources.sample_posts import sample_raw  # noqa: E402
 
+try:
+    import corpus_pipeline
+    from agorametric.llm import queries as corpus_queries
+except ModuleNotFoundError as missing:
+    # Only a removed subpackage is excused; a broken import inside it is not.
+    if missing.name not in ("corpus_pipeline", "agorametric.llm", "agorametric.llm.queries"):
+        raise
+    corpus_pipeline = corpus_queries = None
+
 # The sample's cells are smaller than the published data's, where a hotspot needs more than 500 posts.
 _SAMPLE = replace(DEFAULTS, hotspot_above=oracle_queries.HOTSPOT_ABOVE)
 
@@ -156,11 +165,18 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         found[name] = _query(lambda spark, folder, name=name: marts.mart(name, _rows(spark, folder)))
     for name, report in _ON_CLEAN.items():
         found[name] = _query(lambda spark, folder, report=report: report(_rows(spark, folder)))
+    if corpus_queries:
+        found |= {**corpus_queries.queries(), "pipeline": corpus_pipeline.run}
     return found
 
 
 def oracle_sql() -> dict[str, str]:
-    return oracle_queries.statements()
+    found = oracle_queries.statements()
+    if corpus_queries:
+        found |= corpus_queries.statements()
+        if corpus_pipeline.ORACLE_SQL:
+            found["pipeline"] = corpus_pipeline.ORACLE_SQL
+    return found
 
 
 def entry(spark: SparkSession) -> DataFrame:
