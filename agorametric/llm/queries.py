@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from agorametric.llm import pieces
+from agorametric.llm import covering, pieces
 from agorametric.llm.common import prepare, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,12 +23,16 @@ def op2_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
     return pieces.digests(pieces.encode(table(spark, folder, "documents"), piece_model()))
 
 
+def op3_covering_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    return covering.digests(covering.near_duplicates(table(spark, folder, "documents")))
+
+
 def _prepared(query: Query) -> Query:
     return lambda spark, folder: query(prepare(spark), folder)
 
 
 def queries() -> dict[str, Query]:
-    return {query.__name__: _prepared(query) for query in (op2_sentencepiece,)}
+    return {query.__name__: _prepared(query) for query in (op2_sentencepiece, op3_covering_simhash)}
 
 
 def statements() -> dict[str, str]:
