@@ -298,11 +298,14 @@ def _splitter(score: dict[str, float], symbols: list[str]):
 
 
 @lru_cache(maxsize=2)
-def _encoder(path: str, end: bool) -> Encoder:
+def encoder(path: str, end: bool) -> Encoder:
     """One per worker process and model."""
     return Encoder(path, end)
 
 
+_encoder = encoder
+
+
 def encode(documents: DataFrame, model: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",), end: bool = True) -> DataFrame:
     """Per row the columns of `keep`, `ids`, `starts`, `ends` (bytes of the original text) and `decoded`.
 
@@ -313,16 +316,16 @@ def encode(documents: DataFrame, model: str, text: str = "text", keep: tuple[str
     kept = ", ".join(f"`{field.name}` {field.dataType.simpleString()}" for field in rows.schema.fields[:-1])
 
     def run(batch: pa.RecordBatch):
-        encoder = _encoder(model, end)
+        coder = encoder(model, end)
         texts = batch.column("__text").to_pylist()
         for start, stop in slices(texts):
-            found = [encoder.encode(data) for data in texts[start:stop]]
+            found = [coder.encode(data) for data in texts[start:stop]]
             borders = np.cumsum([0, *[len(ids) for ids, _, _ in found]], dtype=np.int32)
             lists = [
                 pa.ListArray.from_arrays(pa.array(borders), pa.array(np.concatenate(parts).astype(np.int32)))
                 for parts in zip(*found)
             ]
-            decoded = pa.array(encoder.decode([ids.tolist() for ids, _, _ in found]), pa.string())
+            decoded = pa.array(coder.decode([ids.tolist() for ids, _, _ in found]), pa.string())
             part = batch.slice(start, stop - start)
             columns = [*part.columns[:-1], *lists, decoded]
             yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names[:-1], "ids", "starts", "ends", "decoded"])
