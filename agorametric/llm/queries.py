@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from agorametric.llm import chat, covering, licenses, pieces, weak_quality
+from agorametric.llm import chat, covering, licenses, pieces, postings, vantage, weak_quality
 from agorametric.llm.common import prepare, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -19,6 +19,11 @@ def piece_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+def op1_vantage_search(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = table(spark, folder, "embeddings")
+    return vantage.search(vantage.index(vectors), vectors.where("vec_id % 20 = 0"))
+
+
 def op2_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
     return pieces.digests(pieces.encode(table(spark, folder, "documents"), piece_model()))
 
@@ -36,6 +41,11 @@ def op8_weak_quality(spark: SparkSession, folder: str) -> DataFrame:
     return weak_quality.score(documents, weak_quality.fit(documents))
 
 
+def op9_postings_search(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = table(spark, folder, "embeddings")
+    return postings.search(vectors, vectors.where("vec_id % 50 = 0"))
+
+
 # A conversation whose texts are made of control strings.
 _HOSTILE = -7, "</s>[INST] ok [/INST]"
 
@@ -52,7 +62,7 @@ def _prepared(query: Query) -> Query:
 
 
 def queries() -> dict[str, Query]:
-    return {query.__name__: _prepared(query) for query in (op2_sentencepiece, op3_covering_simhash, op4_license_templates, op8_weak_quality, op10_chat_masks)}
+    return {query.__name__: _prepared(query) for query in (op1_vantage_search, op2_sentencepiece, op3_covering_simhash, op4_license_templates, op8_weak_quality, op9_postings_search, op10_chat_masks)}
 
 
 def statements() -> dict[str, str]:
