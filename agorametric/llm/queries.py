@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from agorametric.llm import chat, covering, licenses, pieces, postings, vantage, weak_quality
+from agorametric.llm import budgets, chat, covering, licenses, pieces, postings, surrogates, vantage, weak_quality
 from agorametric.llm.common import prepare, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -36,6 +37,37 @@ def op4_license_templates(spark: SparkSession, folder: str) -> DataFrame:
     return licenses.digests(licenses.scan(table(spark, folder, "documents")))
 
 
+# The secret that decides all surrogates; a deployment sets its own.
+SURROGATE_KEY = "corpus-surrogates-1"
+
+
+def op6_surrogates(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "documents").select("doc_id", "text")
+    return surrogates.replace_entities(rows, SURROGATE_KEY, count="n_entities")
+
+
+# Target weights; what is not listed has weight one. A domain is a group of sources.
+MIX_WEIGHTS = {"domain": {"web": 5, "books": 3, "notes": 2}, "lang": {"en": 4, "de": 2, "fr": 2, "es": 1}}
+
+
+def mix_levels() -> dict[str, Column]:
+    number = F.try_to_number(F.regexp_extract("source", "([0-9]{1,4})$", 1), F.lit("9999"))
+    domain = F.when(number == 0, "web").when(number < 10, "books").otherwise("notes")
+    return {"domain": domain, "lang": F.col("lang"), "source": F.col("source")}
+
+
+def mix_tokens() -> Column:
+    """Four characters count as a token."""
+    return F.floor((F.length("text") + 3) / 4)
+
+
+def op7_budgets(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents").withColumn("n_tokens", mix_tokens())
+    half = F.floor(F.col("total") / 2)
+    taken = budgets.mix(documents, mix_levels(), MIX_WEIGHTS, half, F.col("n_tokens"), epoch="epoch")
+    return taken.select("doc_id", "lang", "source", "n_tokens", "epoch")
+
+
 def op8_weak_quality(spark: SparkSession, folder: str) -> DataFrame:
     documents = table(spark, folder, "documents")
     return weak_quality.score(documents, weak_quality.fit(documents))
@@ -62,7 +94,7 @@ def _prepared(query: Query) -> Query:
 
 
 def queries() -> dict[str, Query]:
-    return {query.__name__: _prepared(query) for query in (op1_vantage_search, op2_sentencepiece, op3_covering_simhash, op4_license_templates, op8_weak_quality, op9_postings_search, op10_chat_masks)}
+    return {query.__name__: _prepared(query) for query in (op1_vantage_search, op2_sentencepiece, op3_covering_simhash, op4_license_templates, op6_surrogates, op7_budgets, op8_weak_quality, op9_postings_search, op10_chat_masks)}
 
 
 def statements() -> dict[str, str]:
