@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from agorametric.llm import budgets, chat, covering, licenses, pieces, postings, surrogates, vantage, weak_quality
-from agorametric.llm.common import prepare, table
+from agorametric.llm import statements as statements_of
+from agorametric.llm import budgets, chat, covering, licenses, merkle, pieces, postings, surrogates, vantage, weak_quality
+from agorametric.llm.common import prepare, stored, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -37,6 +38,20 @@ def op4_license_templates(spark: SparkSession, folder: str) -> DataFrame:
     return licenses.digests(licenses.scan(table(spark, folder, "documents")))
 
 
+def op5_merkle_audit(spark: SparkSession, folder: str) -> DataFrame:
+    """The pages as WARC records against a replica that is derived from them with some records rotten or lost."""
+    pages = table(spark, folder, "pages")
+    middle = F.floor(F.length("html") / 2).cast("int")
+    rotten = F.concat(F.substring("html", F.lit(1), middle), F.lit("#"), F.substring(F.col("html"), middle + 2, F.length("html")))
+    copied = merkle.warc_record(F.col("url"), F.col("page_id"), F.when(F.col("page_id") % 101 == 7, rotten).otherwise(F.col("html")))
+    records = merkle.records_of(pages, copied_length=F.octet_length(copied), copied_sha256=F.sha2(copied, 256))
+    records = stored(records, "warc")
+    replica = records.where("NOT (page_id IS NOT NULL AND page_id % 103 = 9)").select(
+        "file", "offset", F.col("copied_length").alias("length"), F.col("copied_sha256").alias("sha256")
+    )
+    return merkle.audit(records, replica)
+
+
 # The secret that decides all surrogates; a deployment sets its own.
 SURROGATE_KEY = "corpus-surrogates-1"
 
@@ -94,8 +109,8 @@ def _prepared(query: Query) -> Query:
 
 
 def queries() -> dict[str, Query]:
-    return {query.__name__: _prepared(query) for query in (op1_vantage_search, op2_sentencepiece, op3_covering_simhash, op4_license_templates, op6_surrogates, op7_budgets, op8_weak_quality, op9_postings_search, op10_chat_masks)}
+    return {query.__name__: _prepared(query) for query in (op1_vantage_search, op2_sentencepiece, op3_covering_simhash, op4_license_templates, op5_merkle_audit, op6_surrogates, op7_budgets, op8_weak_quality, op9_postings_search, op10_chat_masks)}
 
 
 def statements() -> dict[str, str]:
-    return {}
+    return {"op5_merkle_audit": statements_of.MERKLE, "op7_budgets": statements_of.BUDGETS}
