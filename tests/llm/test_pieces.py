@@ -1,0 +1,89 @@
+from __future__ import annotations
+
+import hashlib
+from pathlib import Path
+
+import numpy as np
+import pyarrow.parquet as pq
+import pytest
+import sentencepiece
+from conftest import SMALL
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from sentencepiece import sentencepiece_model_pb2
+
+from agorametric.llm import pieces
+from agorametric.llm.common import prepare
+from agorametric.llm.queries import piece_model, queries
+
+LIBRARY = sentencepiece.SentencePieceProcessor(model_file=piece_model())
+ENCODER = pieces.encoder(piece_model(), True)
+TEXTS = st.one_of(st.text(), st.lists(st.sampled_from(list(" ▁\n\tabétheing<s>0é🎉ﬁ") + ["</s>", "<0x0A>", "ing "])).map("".join))
+
+
+def sha(text):
+    return hashlib.sha256(text.encode()).hexdigest()
+
+
+@settings(max_examples=500, deadline=None)
+@given(TEXTS)
+def test_ids_spans_and_decoding_match_the_library(text):
+    data = text.encode(errors="replace")
+    text = data.decode()
+    ids, starts, ends = ENCODER.encode(data)
+    assert ids.tolist() == LIBRARY.encode(text, add_eos=True)
+    named = LIBRARY.encode(text, return_type="proto").pieces
+    assert list(zip(starts[:-1], ends[:-1])) == [(piece.begin, piece.end) for piece in named]
+    # Every byte of the text is in one piece.
+    assert b"".join(data[start:end] for start, end in zip(starts, ends)) == data
+    assert ENCODER.decode([ids.tolist()]) == [LIBRARY.decode(ids.tolist())]
+
+
+@pytest.mark.parametrize("rule", ["nmt_nfkc", "nfkc", "nmt_nfkc_cf", "identity"])
+def test_compiled_maps_match_the_library(rule):
+    library = sentencepiece.SentencePieceNormalizer(rule_name=rule)
+    proto = sentencepiece_model_pb2.ModelProto.FromString(library.serialized_model_proto())
+    drawn = np.random.default_rng(1)
+    letters = list(" 　 ａｂﬁéA½㍿́e\n\t​가") + ["é", "ﬀ"]
+    for trim in (False, True):
+        proto.normalizer_spec.remove_extra_whitespaces = trim
+        library = sentencepiece.SentencePieceNormalizer(rule_name=rule, remove_extra_whitespaces=trim)
+        normalize = pieces.Normalizer(sentencepiece_model_pb2.ModelProto.FromString(library.serialized_model_proto()).normalizer_spec)
+        for _ in range(500):
+            text = "".join(drawn.choice(letters, drawn.integers(0, 15)))
+            normal, offsets = normalize(text.encode())
+            exact, places = library.normalize(text, with_offsets=True)
+            assert normal.decode() == exact
+            # The library counts characters.
+            firsts = [at for at, byte in enumerate(normal) if byte & 0xC0 != 0x80]
+            assert [len(text.encode()[: offsets[at]].decode()) for at in firsts] == places[: len(firsts)]
+
+
+def test_malformed_bytes_count_as_replacements():
+    ids, starts, ends = ENCODER.encode(b"a\xffb\xc3")
+    assert ids.tolist() == LIBRARY.encode("a�b�", add_eos=True)
+    assert ends[-1] == 4 and starts[0] == 0
+
+
+def test_long_words_merge_like_short_ones():
+    for text in ("ab" * 5000, "the" * 3000, "é" * 2000, "thetheinging" * 6):
+        assert ENCODER.encode(text.encode())[0].tolist() == LIBRARY.encode(text, add_eos=True)
+
+
+def test_whole_table(spark):
+    texts = {row["doc_id"]: row["text"] or "" for row in pq.read_table(Path(SMALL) / "documents.parquet").to_pylist()}
+    found = queries()["op2_sentencepiece"](spark, SMALL).collect()
+    assert len(found) == len(texts)
+    for row in found:
+        ids = LIBRARY.encode(texts[row["doc_id"]], add_eos=True)
+        assert tuple(row)[1:] == (len(ids), sha(" ".join(map(str, ids))), sha(LIBRARY.decode(ids)))
+
+
+def test_odd_rows(spark):
+    schema = "doc_id long, text string, ids string, extra int"
+    rows = [(None, None, "x", 1), (1, "", "x", 1), (1, "", "x", 1), (2, "word " * 100_000, "x", 1)]
+    frame = prepare(spark).createDataFrame(rows, schema)
+    found = pieces.encode(frame, piece_model(), keep=("doc_id", "extra")).collect()
+    assert [row["ids"][-1] for row in found] == [2] * 4 and [len(row["ids"]) for row in found[:3]] == [1] * 3
+    assert found[3]["decoded"] == rows[3][1] and found[3]["ends"][-1] == len(rows[3][1])
+    assert pieces.digests(pieces.encode(frame.limit(0), piece_model())).count() == 0
