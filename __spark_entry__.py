@@ -10,11 +10,11 @@ from __future__ import annotations
 import sys
 from collections.abc import Callable
 from dataclasses import replace
-from functools import partial
+from functools import partial, reduce
 from pathlib import Path
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DateType, DecimalType, IntegerType, ShortType, TimestampType
 
@@ -22,8 +22,10 @@ sys.path.insert(0, str(Path(__file__).resolve().parent))
 
 import oracle_queries  # noqa: E402
 from agorametric.operators.cells import DIMENSIONS, Cells  # noqa: E402
-from agorametric.plans import audit, descriptive, diagnostic, marts, staging, validation  # noqa: E402
+from agorametric.operators.keys import key_violations  # noqa: E402
+from agorametric.plans import audit, descriptive, diagnostic, marts, pipeline, staging, validation  # noqa: E402
 from agorametric.plans.cleaning import clean  # noqa: E402
+from agorametric.schemas import RAW  # noqa: E402
 from agorametric.session import configure, scratch_path  # noqa: E402
 from agorametric.settings import DEFAULTS  # noqa: E402
 from agorametric.sources import tables  # noqa: E402
@@ -60,21 +62,47 @@ def portable(frame: DataFrame) -> DataFrame:
     return frame.select(*columns)
 
 
-_stored_at: dict[tuple[str, str], str] = {}
+# Where an application has stored a table of a folder, and which input it was made from.
+_stored_at: dict[tuple[str, str, str], tuple[str, tuple]] = {}
 
 
-def _clean_table(spark: SparkSession, folder: str) -> DataFrame:
-    """The stored clean table of this folder, written on first use by this application."""
-    key = (spark.sparkContext.applicationId, folder)
-    if key in _stored_at:
+def _identity(spark: SparkSession, folder: str) -> tuple:
+    """Count of files, latest change and sum of sizes of the input: another value means another input."""
+    files = spark.read.parquet(f"{folder}/orders.parquet").select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time")
+    one = files.distinct().agg(F.count("*"), F.max("file_modification_time"), F.sum("file_size"), F.sum(F.xxhash64("file_path") % 1_000_003))
+    return tuple(one.first())
+
+
+def _kept(
+    spark: SparkSession, folder: str, name: str, write: Callable[[str], None], read: Callable[[str], DataFrame], rows: int | None
+) -> DataFrame:
+    """A table stored once per folder and input, in one place per name; stored again unless it is whole."""
+    key, identity = (spark.sparkContext.applicationId, folder, name), _identity(spark, folder)
+    path, made_from = _stored_at.get(key, (None, None))
+    if path and made_from == identity:
         try:
-            return tables.read_clean(spark, _stored_at[key])
+            found = read(path)
+            if rows is None or found.count() == rows:
+                return found
         except AnalysisException:
-            pass  # The shared folder was emptied meanwhile; store it again.
-    path = scratch_path(spark, "clean")
-    tables.write_clean(clean(sample_raw(spark, folder)), path)
-    _stored_at[key] = path
-    return tables.read_clean(spark, path)
+            pass  # The shared folder was emptied meanwhile.
+    path = path or scratch_path(spark, name)
+    write(path)
+    _stored_at[key] = path, identity
+    return read(path)
+
+
+def _clean_table(spark: SparkSession, folder: str) -> DataFrame:
+    """The stored clean table of this folder, with as many rows as its source."""
+    raw = sample_raw(spark, folder)
+    return _kept(
+        spark,
+        folder,
+        "clean",
+        lambda path: tables.write_clean(clean(raw), path),
+        lambda path: tables.read_clean(spark, path),
+        raw.count(),
+    )
 
 
 def _rows(spark: SparkSession, folder: str) -> Cells:
@@ -83,16 +111,68 @@ def _rows(spark: SparkSession, folder: str) -> Cells:
 
 def _ingested(spark: SparkSession, folder: str) -> DataFrame:
     """The sample written as CSV files and read back."""
-    path = scratch_path(spark, "staging-csv")
-    write_raw_csv(sample_raw(spark, folder), path)
-    return read_raw_csv(spark, path)
-
-
-def _published(spark: SparkSession, folder: str) -> DataFrame:
-    """A mart computed from stored cells instead of single posts."""
-    path = scratch_path(spark, "cells")
-    _rows(spark, folder).merge(*DIMENSIONS).frame.write.parquet(path)
-    return marts.mart("vw_executive_insights", Cells(spark.read.parquet(path), merged=True))
+    raw = sample_raw(spark, folder)
+    return _kept(
+        spark, folder, "staging-csv", lambda path: write_raw_csv(raw, path), lambda path: read_raw_csv(spark, path), raw.count()
+    )
+
+
+def _cells(spark: SparkSession, folder: str) -> Cells:
+    """Stored cells instead of single posts."""
+    rows = _rows(spark, folder)
+    stored = _kept(
+        spark,
+        folder,
+        "cells",
+        lambda path: rows.merge(*DIMENSIONS).frame.write.mode("overwrite").parquet(path),
+        lambda path: spark.read.parquet(path),
+        None,
+    )
+    return Cells(stored, merged=True)
+
+
+def _published(name: str, spark: SparkSession, folder: str) -> DataFrame:
+    """A mart as dashboards read it: published as a table, and read back."""
+    cells = _cells(spark, folder)
+    return _kept(
+        spark,
+        folder,
+        "published",
+        lambda path: pipeline.publish_marts(cells, path),
+        lambda path: spark.read.parquet(f"{pipeline.locations(path).marts}/{name}"),
+        None,
+    )
+
+
+def _by_bins(spark: SparkSession, folder: str) -> DataFrame:
+    """The report by stance with stored score bins."""
+    rows = _rows(spark, folder)
+    bins = _kept(
+        spark,
+        folder,
+        "bins",
+        lambda path: descriptive.score_bins(rows).frame.write.mode("overwrite").parquet(path),
+        lambda path: spark.read.parquet(path),
+        None,
+    )
+    return descriptive.sentiment_by_stance(rows, Cells(bins, merged=True))
+
+
+def _spoilt(spark: SparkSession, folder: str) -> DataFrame:
+    """The sample with missing and repeated ids, and with numbers that are wide, long, out of range or none."""
+
+    def instead(column: str, texts: dict[int, str]) -> Column:
+        return reduce(lambda found, pair: F.when(F.col("id") % pair[0] == 0, pair[1]).otherwise(found), texts.items(), F.col(column))
+
+    spoilt = {name: instead(name, texts) for name, texts in oracle_queries.SPOILT.items()}
+    key = F.when(F.col("id") % 501 == 0, None).when(F.col("id") % 97 == 0, F.floor(F.col("id") / 2)).otherwise(F.col("id"))
+    return sample_raw(spark, folder).select(*[spoilt.get(name, F.col(name)).alias(name) for name in RAW.names if name != "id"], key.alias("id"))
+
+
+def _many(spark: SparkSession, folder: str) -> Cells:
+    """The sample twelve times over, which is enough for hotspots of more than 500 posts."""
+    copies = F.explode(F.sequence(F.lit(1), F.lit(oracle_queries.COPIES)))
+    return Cells.of_rows(_clean_table(spark, folder).withColumn("copy", copies).drop("copy"))
 
 
 def _reconciled(spark: SparkSession, folder: str) -> DataFrame:
@@ -149,7 +229,15 @@ _STORED = {
     "ingest_csv": _ingested,
     "clean_layout": lambda spark, folder: _clean_table(spark, folder),
     "clean_reconcile": _reconciled,
-    "mart_from_cells": _published,
+    "mart_from_cells": lambda spark, folder: marts.mart("vw_executive_insights", _cells(spark, folder)),
+    "key_violations": lambda spark, folder: key_violations(_spoilt(spark, folder), "id"),
+    "audit_lat_spoilt": lambda spark, folder: audit.latitude(_spoilt(spark, folder)),
+    "audit_lng_spoilt": lambda spark, folder: audit.longitude(_spoilt(spark, folder)),
+    "audit_temperature_spoilt": lambda spark, folder: audit.temperature(_spoilt(spark, folder)),
+    "desc_sentiment_by_stance_bins": _by_bins,
+    "diag_correlations_cells": lambda spark, folder: diagnostic.correlations(_cells(spark, folder)),
+    "diag_hotspots_default": lambda spark, folder: diagnostic.hotspots(_many(spark, folder)),
+    **{f"published_{name}": partial(_published, name) for name in ("vw_yearly_trends", "vw_temp_sentiment", "vw_kpi_summary")},
 }
 
 

@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, GroupedData
 from pyspark.sql import functions as F
 
-from agorametric.functions.ratios import COUNT, TOTAL, quotient, rounded, units
+from agorametric.functions.ratios import COUNT, TOTAL, UNITS_PER_ONE, quotient, rounded, units
 
 MEASURES = ("sentiment_score", "temperature_avg")
 
@@ -32,6 +32,10 @@ DIMENSIONS = (
 )
 
 _LOW_BITS = 20
+_LOW_MASK = (1 << _LOW_BITS) - 1
+
+# Whole numbers as wide as they come.
+WHOLE = "decimal(38,0)"
 
 
 @dataclass(frozen=True)
@@ -100,22 +104,29 @@ class Cells:
         if self.merged:
             return F.sum(_only(condition, F.col(f"{measure}_sum"))).cast(TOTAL)
         whole = _only(condition, units(F.col(measure)))
-        upper = F.sum(F.shiftright(whole, _LOW_BITS)).cast(COUNT)
-        lower = F.sum(whole.bitwiseAND(F.lit((1 << _LOW_BITS) - 1))).cast(COUNT)
-        return ((upper * F.lit(1 << _LOW_BITS) + lower) * F.lit("0.0000001").cast("decimal(7,7)")).cast(TOTAL)
+        return (_exact_sum(whole) * F.lit("0.0000001").cast("decimal(7,7)")).cast(TOTAL)
 
     def squares(self, measure: str, condition: Column | None = None) -> Column:
+        """Exact sum of the measure's squares, in squared ten-millionths."""
         if self.merged:
-            return F.sum(_only(condition, F.col(f"{measure}_squares")))
-        value = F.col(measure).cast("double")
-        return F.sum(_only(condition, value * value))
+            return F.sum(_only(condition, F.col(f"{measure}_squares"))).cast(WHOLE)
+        value = units(F.col(measure))
+        return _exact_products(_only(condition, value), value)
 
     def products(self, condition: Column | None = None) -> Column:
-        """Sum of the two measures' product over posts that have both."""
+        """Exact sum of the two measures' product over posts that have both, in squared ten-millionths."""
+        if self.merged:
+            return F.sum(_only(condition, F.col("products"))).cast(WHOLE)
+        first, second = (units(F.col(name)) for name in MEASURES)
+        return _exact_products(_only(condition, first), second)
+
+    def whole(self, measure: str, condition: Column | None = None) -> Column:
+        """Exact sum in ten-millionths; zero without posts."""
         if self.merged:
-            return F.sum(_only(condition, F.col("products")))
-        first, second = (F.col(name).cast("double") for name in MEASURES)
-        return F.sum(_only(condition, first * second))
+            total = self.total(measure, condition) * F.lit(UNITS_PER_ONE)
+        else:
+            total = _exact_sum(_only(condition, units(F.col(measure))))
+        return F.coalesce(total.cast(WHOLE), F.lit(0).cast(WHOLE))
 
     def low(self, measure: str, condition: Column | None = None) -> Column:
         return F.min(_only(condition, F.col(f"{measure}_low" if self.merged else measure)))
@@ -138,15 +149,9 @@ class Cells:
 
     def deviation(self, measure: str, digits: int = 4) -> Column:
         """Sample standard deviation, NULL for fewer than two values."""
-        if not self.merged:
-            return rounded(F.stddev(measure), digits)
-        n = self.filled(measure).cast("double")
-        total = self.total(measure).cast("double")
-        variance = (self.squares(measure) - total * total / n) / (n - 1)
-        constant = self.low(measure) == self.high(measure)
-        return rounded(
-            F.when(n > 1, F.when(constant, 0.0).otherwise(F.sqrt(F.greatest(variance, F.lit(0.0))))), digits
-        )
+        n, total = self.filled(measure), self.whole(measure)
+        spread = _spread(n, self.squares(measure), total, total)
+        return rounded(F.when(n > 1, F.sqrt(F.try_divide(spread, n - 1)) / UNITS_PER_ONE), digits)
 
     def flag_rate(self, flag: str) -> Column:
         """Unrounded share of true among the posts whose flag is known."""
@@ -156,14 +161,13 @@ class Cells:
         """Pearson correlation of the two measures; NULL if either is constant."""
         first, second = MEASURES
         both = F.col("has_sentiment") & F.col("has_temperature")
-        n = self.count(both).cast("double")
-        x, y = (self.total(name, both).cast("double") for name in MEASURES)
+        n = self.count(both)
+        x, y = (self.whole(name, both) for name in MEASURES)
         varied = (self.low(first, both) < self.high(first, both)) & (self.low(second, both) < self.high(second, both))
         return _pearson(
-            n,
-            n * self.products(both) - x * y,
-            n * self.squares(first, both) - x * x,
-            n * self.squares(second, both) - y * y,
+            _spread(n, self.products(both), x, y),
+            _spread(n, self.squares(first, both), x, x),
+            _spread(n, self.squares(second, both), y, y),
             varied,
             digits,
         )
@@ -173,15 +177,13 @@ class Cells:
         present = F.col("has_sentiment" if measure == MEASURES[0] else "has_temperature")
         known = present & F.col(flag).isNotNull()
         marked = present & F.col(flag)
-        n, hits = self.count(known).cast("double"), self.count(marked).cast("double")
-        x = self.total(measure, known).cast("double")
-        hit_total = F.coalesce(self.total(measure, marked), F.lit(0)).cast("double")
+        n, hits = self.count(known), self.count(marked)
+        x = self.whole(measure, known)
         varied = (self.low(measure, known) < self.high(measure, known)) & (hits > 0) & (hits < n)
         return _pearson(
-            n,
-            n * hit_total - x * hits,
-            n * self.squares(measure, known) - x * x,
-            n * hits - hits * hits,
+            _spread(n, self.whole(measure, marked), x, hits.cast(WHOLE)),
+            _spread(n, self.squares(measure, known), x, x),
+            _spread(n, hits.cast(WHOLE), hits.cast(WHOLE), hits.cast(WHOLE)),
             varied,
             digits,
         )
@@ -191,5 +193,37 @@ def _only(condition: Column | None, value: Column) -> Column:
     return value if condition is None else F.when(condition, value)
 
 
-def _pearson(n: Column, covariance: Column, first: Column, second: Column, varied: Column, digits: int) -> Column:
+def _exact_sum(whole: Column) -> Column:
+    """Sum of longs whose upper and lower bits are added up apart, so that neither sum can overflow."""
+    upper = F.sum(F.shiftright(whole, _LOW_BITS)).cast(COUNT)
+    lower = F.sum(whole.bitwiseAND(F.lit(_LOW_MASK))).cast(COUNT)
+    return upper * F.lit(1 << _LOW_BITS) + lower
+
+
+def _exact_products(first: Column, second: Column) -> Column:
+    """Sum of the products of two whole measures, from the products of their upper and lower bits."""
+    (a, b), (c, d) = (
+        (F.shiftright(value, _LOW_BITS), value.bitwiseAND(F.lit(_LOW_MASK))) for value in (first, second)
+    )
+    scale = F.lit(1 << _LOW_BITS).cast("decimal(7,0)")
+    high, middle, low = (_exact_sum(part).cast(WHOLE) for part in (a * c, a * d + b * c, b * d))
+    return (((high * scale).cast(WHOLE) + middle).cast(WHOLE) * scale).cast(WHOLE) + low
+
+
+def _spread(n: Column, products: Column, x: Column, y: Column) -> Column:
+    """Sum of the products of deviations from the means, as a double.
+
+    Whole numbers next to the means are taken off exactly, which is where large sums cancel; what is left of the means
+    is about one unit.
+    """
+    count = F.greatest(n, F.lit(1).cast("bigint"))
+    p, q = (F.round(total.cast("double") / count).cast("decimal(19,0)") for total in (x, y))
+    # The sum of (a - p)(b - q) is the sum of ab, less p times the sum of b, less q times the sum of (a - p).
+    x_left = (x - p * count.cast(COUNT)).cast(COUNT)
+    shifted = products - (p * y).cast(WHOLE) - (q * x_left).cast(WHOLE)
+    y_left = (y - q * count.cast(COUNT)).cast(COUNT)
+    return shifted.cast("double") - x_left.cast("double") * y_left.cast("double") / count
+
+
+def _pearson(covariance: Column, first: Column, second: Column, varied: Column, digits: int) -> Column:
     return rounded(F.when(varied, covariance / (F.sqrt(first) * F.sqrt(second))), digits)

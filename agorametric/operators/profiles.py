@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from agorametric.functions.ratios import COUNT, percent
-from agorametric.functions.text import is_blank, is_number, lenient_number
+from agorametric.functions.text import is_blank, is_number, lenient_number, nearest_number
 
 
 def tally(condition: Column) -> Column:
@@ -32,7 +32,7 @@ def number_profile(
     text = F.col("text")
     number = F.col("number")
     parsed = frame.select(F.col(column).alias("text")).select(
-        text, is_number(text).alias("shaped"), lenient_number(text).alias("number")
+        text, is_number(text).alias("shaped"), lenient_number(text).alias("number"), nearest_number(text).alias("nearest")
     )
     measures = [
         F.count(F.lit(1)).alias("total"),
@@ -43,9 +43,13 @@ def number_profile(
         # A well-formed number too large for the wide decimal is out of any range.
         outside = F.col("shaped") & (number.isNull() | ~number.between(*valid_range))
         measures.append(tally(outside).alias("out_of_range"))
-    measures += [F.min(number).alias(f"min_{suffix}"), F.max(number).alias(f"max_{suffix}")]
+    # Extremes are doubles, which hold every number; so is the average where a number is too large for a wide decimal.
+    measures += [F.min("nearest").alias(f"min_{suffix}"), F.max("nearest").alias(f"max_{suffix}")]
     if average_digits is not None:
-        measures.append(wide_average(number, average_digits).alias(f"avg_{suffix}"))
+        too_large = F.count_if(F.col("shaped") & number.isNull()) > 0
+        rough = F.round(F.avg("nearest").cast(f"decimal(38,{average_digits})"), average_digits)
+        average = F.when(too_large, rough).otherwise(wide_average(number, average_digits))
+        measures.append(average.alias(f"avg_{suffix}"))
     return parsed.agg(*measures)
 
 

@@ -13,5 +13,7 @@ def with_share(groups: DataFrame, count: str, share: str, digits: int = 2) -> Da
 
     The total is a one-row subquery over the already grouped rows, so they are not all moved to one task.
     """
-    total = groups.agg(F.sum(count)).scalar()
-    return groups.withColumn(share, percent(F.col(count), total, digits))
+    # The mark reads every column, so that the subquery groups the same columns and its exchange is shared.
+    mark = F.max(F.xxhash64(*groups.columns))
+    total = groups.agg(F.struct(F.sum(count).alias("total"), mark.alias("mark"))).scalar()
+    return groups.withColumn(share, percent(F.col(count), total["total"], digits))

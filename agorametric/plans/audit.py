@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from agorametric.functions.text import is_blank, is_number
+from agorametric.functions.text import WIDE, is_blank, is_number
 from agorametric.operators.ordering import in_order, top
 from agorametric.operators.profiles import category_profile, number_profile, tally, wide_average
 from agorametric.settings import DEFAULTS, Settings
@@ -43,7 +43,7 @@ def sentiment(raw: DataFrame) -> DataFrame:
     """Every row must be a number here: the least, greatest and average value are strict casts and fail on others."""
     text, number = F.col("sentiment"), F.col("number")
     valid = tally(is_number(text))
-    return raw.select(text, text.cast("decimal(38,18)").alias("number")).agg(
+    return raw.select(text, text.cast(WIDE).alias("number")).agg(
         F.count(F.lit(1)).alias("total"),
         tally(is_blank(text)).alias("null_or_blank"),
         F.count(text).alias("non_null_rows"),

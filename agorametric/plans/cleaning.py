@@ -6,17 +6,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from agorametric.functions import rules
-from agorametric.functions.text import labelled, optional_measure, strict_measure, title_words, within_length
+from agorametric.functions.text import labelled, optional_measure, strict_measure, strict_time, title_words, within_length
 from agorametric.schemas import CLEAN
+from agorametric.session import STRICT, temporary_settings
 from agorametric.settings import AGGRESSIVENESS_LABELS, DEFAULTS, GENDER_LABELS, STANCE_LABELS, Settings
 
 
 def clean(raw: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
-    """Strict where a value is required: a bad time, score or coordinate fails the job."""
+    """Strict where a value is required: a bad time, score or coordinate fails the job.
+
+    Casts keep the strictness and time zone of the moment they are written, so the session's own settings don't matter.
+    """
+    with temporary_settings(raw.sparkSession, STRICT):
+        return _clean(raw, settings)
+
+
+def _clean(raw: DataFrame, settings: Settings) -> DataFrame:
     typed = raw.select(
         F.col("id").alias("tweet_id"),
         F.col("created_at").alias("created_at_raw"),
-        F.col("created_at").cast("timestamp").alias("tweet_timestamp"),
+        strict_time(F.col("created_at")).alias("tweet_timestamp"),
         strict_measure(F.col("sentiment")).alias("sentiment_score"),
         *(optional_measure(F.col(name)).alias(name) for name in ("lat", "lng", "temperature_avg")),
         title_words(F.col("topic")).alias("topic"),

@@ -12,6 +12,7 @@ from agorametric.operators.ordering import in_order
 from agorametric.operators.quantiles import exact_median
 from agorametric.operators.shares import with_share
 from agorametric.plans.marts import mart
+from agorametric.session import scratch_path
 from agorametric.settings import DEFAULTS, Settings
 
 # A multiple of ten: some two thousand bins, ten thousand possible scores in each.
@@ -83,9 +84,16 @@ def _ranges(bins: Cells) -> DataFrame:
     )
 
 
+def stored_bins(rows: Cells) -> Cells:
+    """Score bins written to the shared folder: a small table that several parts of a report read."""
+    spark, path = rows.frame.sparkSession, scratch_path(rows.frame.sparkSession, "bins")
+    score_bins(rows).frame.write.parquet(path)
+    return Cells(spark.read.parquet(path), merged=True)
+
+
 def sentiment_by_stance(rows: Cells, bins: Cells | None = None) -> DataFrame:
-    """The median needs single posts; with stored bins all else comes from those."""
-    source = bins or rows
+    """Two scans of the posts, one for the bins if they are not given and one for the median; all else is from bins."""
+    source = bins or stored_bins(rows)
     summary = source.by("stance").agg(
         source.count().alias("tweets"),
         F.round(source.low("sentiment_score"), 4).alias("min_sentiment"),
@@ -93,7 +101,7 @@ def sentiment_by_stance(rows: Cells, bins: Cells | None = None) -> DataFrame:
         source.average("sentiment_score").alias("avg_sentiment"),
         source.deviation("sentiment_score").alias("stddev_sentiment"),
     )
-    medians = exact_median(rows.frame, _ranges(bins or score_bins(rows)), "stance", "sentiment_score", "median")
+    medians = exact_median(rows.frame, _ranges(source), "stance", "sentiment_score", "median")
     joined = summary.join(medians, "stance", "left").select(
         *summary.columns, F.round("median", 4).alias("median_sentiment")
     )

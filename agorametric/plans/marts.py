@@ -260,11 +260,11 @@ MARTS = {
 }
 
 
-def mart(name: str, cells: Cells, settings: Settings = DEFAULTS) -> DataFrame:
+def mart(name: str, cells: Cells, settings: Settings = DEFAULTS, ordered: bool = True) -> DataFrame:
     """A view's rows in their order; the sort drops out of plans that aggregate or sort the result again."""
     found = MARTS[name]
     rows = found.build(cells, settings)
-    return in_order(rows, *found.order) if found.order else rows
+    return in_order(rows, *found.order) if ordered and found.order else rows
 
 
 def register_views(cells: Cells, settings: Settings = DEFAULTS) -> None:

@@ -1,4 +1,4 @@
-"""All phases over stored tables: stage, check, clean, merge, publish."""
+"""The load over stored tables: stage, check, clean, merge, publish. Audits are separate queries."""
 
 from __future__ import annotations
 
@@ -11,6 +11,7 @@ from agorametric.operators.keys import require_key
 from agorametric.plans import marts, validation
 from agorametric.plans.cleaning import clean
 from agorametric.plans.descriptive import score_bins
+from agorametric.session import STRICT, temporary_settings
 from agorametric.settings import DEFAULTS, Settings
 from agorametric.sources import tables
 from agorametric.sources.delimited import read_raw_csv
@@ -50,8 +51,8 @@ def merge_cells(spark: SparkSession, folder: str) -> None:
     """One row per combination of dimensions, from which all marts are built, and one per stance and score bin."""
     at = locations(folder)
     rows = Cells.of_rows(tables.read_clean(spark, at.clean))
-    rows.merge(*DIMENSIONS).frame.write.mode("overwrite").parquet(at.cells)
-    score_bins(rows).frame.write.mode("overwrite").parquet(at.bins)
+    for cells, path in ((rows.merge(*DIMENSIONS), at.cells), (score_bins(rows), at.bins)):
+        cells.frame.write.mode("overwrite").option("compression", tables.CODEC).parquet(path)
 
 
 def read_cells(spark: SparkSession, folder: str) -> Cells:
@@ -63,9 +64,10 @@ def read_bins(spark: SparkSession, folder: str) -> Cells:
 
 
 def publish_marts(cells: Cells, folder: str, settings: Settings = DEFAULTS) -> None:
-    """Each mart as a Parquet table for dashboards."""
+    """Each mart as a Parquet table for dashboards, which order what they show."""
     for name in marts.MARTS:
-        marts.mart(name, cells, settings).write.mode("overwrite").parquet(f"{locations(folder).marts}/{name}")
+        rows = marts.mart(name, cells, settings, ordered=False)
+        rows.write.mode("overwrite").option("compression", tables.CODEC).parquet(f"{locations(folder).marts}/{name}")
 
 
 def register(spark: SparkSession, folder: str, settings: Settings = DEFAULTS) -> None:
@@ -76,9 +78,18 @@ def register(spark: SparkSession, folder: str, settings: Settings = DEFAULTS) ->
     marts.register_views(read_cells(spark, folder), settings)
 
 
-def run(spark: SparkSession, csv: str, folder: str, settings: Settings = DEFAULTS) -> Tables:
-    stage(spark, csv, folder)
-    load_clean(spark, folder, settings)
-    merge_cells(spark, folder)
-    publish_marts(read_cells(spark, folder), folder, settings)
+def run(
+    spark: SparkSession,
+    csv: str,
+    folder: str,
+    settings: Settings = DEFAULTS,
+    multi_line: bool = False,
+    gather: bool = True,
+) -> Tables:
+    """From files to published marts, under the settings that decide results, whatever the session's own are."""
+    with temporary_settings(spark, STRICT):
+        stage(spark, csv, folder, multi_line)
+        load_clean(spark, folder, settings, gather)
+        merge_cells(spark, folder)
+        publish_marts(read_cells(spark, folder), folder, settings)
     return locations(folder)

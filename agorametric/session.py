@@ -12,10 +12,14 @@ from pyspark.sql import SparkSession
 _own_folders: dict[str, str] = {}
 
 
+# Runtime settings that change results: calendar parts follow UTC, casts are strict.
+STRICT = {"spark.sql.session.timeZone": "UTC", "spark.sql.ansi.enabled": "true"}
+
+
 def configure(spark: SparkSession) -> SparkSession:
-    """Pin the two runtime settings that change results: calendar parts follow UTC, casts are strict."""
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
-    spark.conf.set("spark.sql.ansi.enabled", "true")
+    """Set them for the whole session."""
+    for key, value in STRICT.items():
+        spark.conf.set(key, value)
     return spark
 
 

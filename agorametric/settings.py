@@ -39,6 +39,13 @@ SEASON_MONTHS = {"Winter": (12, 1, 2), "Spring": (3, 4, 5), "Summer": (6, 7, 8)}
 NUMBER_PATTERN = r"^-?[0-9]+\.?[0-9]*([eE][+-]?[0-9]+)?"
 
 
+# Fixed value: what counts as a time: a full date, alone or with hours and minutes at least, and an offset from UTC.
+TIME_PATTERN = (
+    r"^\s*[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}"
+    r"([ T][0-9]{1,2}:[0-9]{1,2}(:[0-9]{1,2}(\.[0-9]{1,9})?)?\s*(Z|UTC|[+-][0-9]{1,2}(:?[0-9]{2})?)?)?\s*"
+)
+
+
 @dataclass(frozen=True)
 class Settings:
     region_boxes: tuple[RegionBox, ...] = REGION_BOXES

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from agorametric.schemas import RAW
 
@@ -17,8 +18,9 @@ def read_raw_csv(spark: SparkSession, path: str, multi_line: bool = False) -> Da
     An unquoted empty field is NULL and a quoted one is ''. With `multi_line`, fields may hold line breaks, but each
     file is then one task; leave it off for large files.
     """
+    as_text = StructType([StructField(field.name, StringType()) for field in RAW.fields])
     rows = (
-        spark.read.schema(RAW)
+        spark.read.schema(as_text)
         .option("header", True)
         .option("sep", ",")
         .option("encoding", "UTF-8")
@@ -26,12 +28,17 @@ def read_raw_csv(spark: SparkSession, path: str, multi_line: bool = False) -> Da
         .option("escape", '"')
         .option("emptyValue", _EMPTY)
         .option("mode", "FAILFAST")
+        # Else a query of few columns would not see that a row is short.
+        .option("columnPruning", False)
         .option("multiLine", multi_line)
         .csv(path)
     )
-    return rows.select(
+    # A condition is evaluated whatever columns a query reads, so a bad id fails every query.
+    number = F.expr("try_cast(id AS bigint)")
+    bad = F.raise_error(F.concat(F.lit("[MALFORMED_RECORD] id is no number: "), F.col("id"))).cast("boolean")
+    return rows.where(F.when(F.col("id").isNull() | number.isNotNull(), True).otherwise(bad)).select(
         *(
-            F.col(f.name)
+            number.alias("id")
             if f.name == "id"
             else F.when(F.col(f.name) == _EMPTY, "").otherwise(F.col(f.name)).alias(f.name)
             for f in RAW.fields

@@ -30,7 +30,9 @@ def write_clean(clean: DataFrame, path: str, gather: bool = True, file_bytes: st
     `gather=False` saves the shuffle for those.
     """
     rows = clean.hint("rebalance", "tweet_year") if gather else clean
-    with temporary_settings(clean.sparkSession, {"spark.sql.adaptive.advisoryPartitionSizeInBytes": file_bytes}):
+    # Without adaptive execution the hint would do nothing.
+    gathering = {"spark.sql.adaptive.enabled": "true", "spark.sql.adaptive.advisoryPartitionSizeInBytes": file_bytes}
+    with temporary_settings(clean.sparkSession, gathering):
         (
             rows.sortWithinPartitions("tweet_year", "topic", "continent")
             .write.mode("overwrite")

@@ -9,7 +9,17 @@ from __future__ import annotations
 from agorametric.sources.sample_posts import SQL as SAMPLE_SQL
 
 HOTSPOT_ABOVE = 50
+# How often the sample is repeated where a hotspot needs more posts than the published 500.
+HOTSPOT_DEFAULT, COPIES = 500, 12
 
+# What replaces a column's text in the spoilt sample where the id is divisible; later entries go before earlier ones.
+SPOILT = {
+    "lat": {70: "1e30", 71: "abc", 73: "-91.5", 79: "-5.2199999999999995e-05", 83: "12345678901234567890123.5"},
+    "lng": {70: "-180.5", 71: "1,5", 73: "-1e25", 79: "-5.2199999999999995e-05"},
+    "temperature_avg": {70: "1e3", 71: "n/a", 73: "-400.00000000000000000001", 79: "-5.2199999999999995e-05"},
+}
+
+# Fixed value: what counts as a number.
 _NUMBER = r"-?[0-9]+\.?[0-9]*([eE][+-]?[0-9]+)?"
 
 _RAW = f"WITH raw AS ({SAMPLE_SQL})"
@@ -113,10 +123,23 @@ _STUDY = "y BETWEEN 2006 AND 2019"
 _NAMED = "continent NOT IN ('Unknown', 'Other')"
 
 
-def _number_profile(column: str, suffix: str, limit: int | None, average: bool) -> str:
+def _replaced(column: str) -> str:
+    cases = " ".join(f"WHEN id % {step} = 0 THEN '{text}'" for step, text in reversed(SPOILT[column].items()))
+    return f"CASE {cases} ELSE {column} END AS {column}"
+
+
+_SPOILT = (
+    f"spoilt AS (SELECT * REPLACE ({', '.join(map(_replaced, SPOILT))},"
+    " CASE WHEN id % 501 = 0 THEN NULL WHEN id % 97 = 0 THEN id // 2 ELSE id END AS id) FROM raw)"
+)
+
+
+def _number_profile(column: str, suffix: str, limit: int | None, average: bool, source: str = "raw") -> str:
+    start = _RAW if source == "raw" else f"{_RAW}, {_SPOILT}"
     checked = (
-        f"{_RAW}, checked AS (SELECT {column} AS x, regexp_full_match({column}, '{_NUMBER}') AS ok,"
-        f" CASE WHEN regexp_full_match({column}, '{_NUMBER}') THEN CAST({column} AS DECIMAL(30,15)) END AS v FROM raw)"
+        f"{start}, checked AS (SELECT {column} AS x, regexp_full_match({column}, '{_NUMBER}') AS ok,"
+        f" CASE WHEN regexp_full_match({column}, '{_NUMBER}') THEN CAST({column} AS DOUBLE) END AS d,"
+        f" CASE WHEN regexp_full_match({column}, '{_NUMBER}') THEN TRY_CAST({column} AS DECIMAL(30,15)) END AS v FROM {source})"
     )
     columns = [
         f"{whole('count(*)')} AS total",
@@ -124,8 +147,8 @@ def _number_profile(column: str, suffix: str, limit: int | None, average: bool)
         f"{whole(tally('''trim(x) <> '' AND NOT ok'''))} AS non_numeric",
     ]
     if limit is not None:
-        columns.append(f"{whole(tally(f'ok AND abs(v) > {limit}'))} AS out_of_range")
-    columns += [f"CAST(min(v) AS DOUBLE) AS min_{suffix}", f"CAST(max(v) AS DOUBLE) AS max_{suffix}"]
+        columns.append(f"{whole(tally(f'ok AND abs(d) > {limit}'))} AS out_of_range")
+    columns += [f"min(d) AS min_{suffix}", f"max(d) AS max_{suffix}"]
     if average:
         units = "CAST(v * 1000000000000000 AS HUGEINT)"
         columns.append(f"{ratio(f'sum({units})', 'count(v) * CAST(1000000000000000 AS HUGEINT)', 4)} AS avg_{suffix}")
@@ -151,6 +174,11 @@ def _raw_statements() -> dict[str, str]:
         "audit_lat": _number_profile("lat", "lat", 90, False),
         "audit_lng": _number_profile("lng", "lng", 180, False),
         "audit_temperature": _number_profile("temperature_avg", "temp", None, True),
+        "audit_lat_spoilt": _number_profile("lat", "lat", 90, False, "spoilt"),
+        "audit_lng_spoilt": _number_profile("lng", "lng", 180, False, "spoilt"),
+        "audit_temperature_spoilt": _number_profile("temperature_avg", "temp", None, True, "spoilt"),
+        "key_violations": f"{_RAW}, {_SPOILT} SELECT id, {whole('count(*)')} AS n FROM spoilt"
+        " GROUP BY id HAVING id IS NULL OR count(*) > 1",
         "audit_sentiment": f"{_RAW} SELECT {whole('count(*)')} AS total,"
         f" {whole(tally('''trim(coalesce(sentiment, '')) = '' '''))} AS null_or_blank,"
         f" {whole('count(sentiment)')} AS non_null_rows, {whole(valid)} AS valid_numeric,"
@@ -474,6 +502,14 @@ def _diagnostic_statements() -> dict[str, str]:
             having=f"count(*) > {HOTSPOT_ABOVE}",
         )
         + " ORDER BY pct_aggressive DESC, continent, topic LIMIT 20",
+        "diag_hotspots_default": grouped(
+            "continent AS continent; topic AS topic",
+            {"tweets": whole("count(*)"), **_HOT_SHARE, **_MEAN},
+            source=f"(SELECT posts.* FROM posts, range({COPIES}))",
+            where=_NAMED,
+            having=f"count(*) > {HOTSPOT_DEFAULT}",
+        )
+        + " ORDER BY pct_aggressive DESC, continent, topic LIMIT 20",
         "diag_temp_by_year": grouped(
             "y AS tweet_year",
             {
@@ -510,7 +546,61 @@ def _diagnostic_statements() -> dict[str, str]:
     }
 
 
+# The order in which a query's rows come; a leading minus sign means descending. Missing values come last ascending and
+# first descending.
+ORDERS = {
+    "audit_categories": "col -n val",
+    "audit_created_at_format": "-occurrences sample_format",
+    "audit_topic": "-occurrences topic_value",
+    "clean_categories": "col -n val",
+    "clean_year_distribution": "tweet_year",
+    "desc_aggressiveness": "-total aggressiveness",
+    "desc_continent": "-tweets continent",
+    "desc_gender": "-total gender",
+    "desc_sentiment_by_stance": "-tweets stance",
+    "desc_sentiment_by_stance_bins": "-tweets stance",
+    "desc_sentiment_histogram": "sentiment_bucket",
+    "desc_stance": "-total stance",
+    "desc_topic": "-total_tweets topic",
+    "desc_volume_by_year": "tweet_year",
+    "diag_aggr_by_stance": "-pct_aggressive stance",
+    "diag_aggressive_regions": "-pct_aggressive continent",
+    "diag_aggressive_topics": "-pct_aggressive topic",
+    "diag_divisive_topics": "-divisiveness_score topic",
+    "diag_hotspots": "-pct_aggressive continent topic",
+    "diag_hotspots_default": "-pct_aggressive continent topic",
+    "diag_seasonal": "-pct_aggressive season",
+    "diag_temp_by_year": "tweet_year",
+    "diag_topic_top3": "tweet_year volume_rank topic",
+    "diag_yearly_shift": "tweet_year",
+    "diag_yoy_direction": "tweet_year",
+    "mart_from_cells": "-aggression_rate topic",
+    "raw_preview": "id",
+    "vw_aggressiveness_analysis": "-aggressive_count tweet_year topic continent stance gender",
+    "vw_executive_insights": "-aggression_rate topic",
+    "vw_gender_analysis": "tweet_year gender",
+    "vw_monthly_trends": "tweet_year tweet_month",
+    "vw_regional_analysis": "-total_tweets continent",
+    "vw_stance_by_region": "continent tweet_year",
+    "vw_temp_sentiment": "tweet_year continent",
+    "vw_topic_analysis": "-total_tweets topic",
+    "vw_topic_yearly_trends": "tweet_year -tweet_count topic",
+    "vw_yearly_trends": "tweet_year",
+}
+
+
+def ordered(name: str, text: str) -> str:
+    """The statement with its rows in the query's order."""
+    keys = ORDERS.get(name, "").split()
+    listed = ", ".join(f"{key[1:]} DESC NULLS FIRST" if key[0] == "-" else f"{key} ASC NULLS LAST" for key in keys)
+    return f"SELECT * FROM ({text}) AS unordered ORDER BY {listed}" if keys else text
+
+
 def statements() -> dict[str, str]:
+    return {name: ordered(name, text) for name, text in _statements().items()}
+
+
+def _statements() -> dict[str, str]:
     on_posts = {
         **_validation_statements(),
         **_mart_statements(),
@@ -530,4 +620,8 @@ def statements() -> dict[str, str]:
         " CASE coalesce(sign(up), 0) WHEN 1 THEN 'Improving' WHEN -1 THEN 'Declining' ELSE 'Stable' END AS direction"
         " FROM changes"
     )
+    found["desc_sentiment_by_stance_bins"] = found["desc_sentiment_by_stance"]
+    found["diag_correlations_cells"] = found["diag_correlations"]
+    for name in ("vw_yearly_trends", "vw_temp_sentiment", "vw_kpi_summary"):
+        found[f"published_{name}"] = found[name]
     return found

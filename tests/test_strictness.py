@@ -1,0 +1,131 @@
+"""Wrong loads fail, whatever the session's settings and whatever columns a query reads."""
+
+from __future__ import annotations
+
+import math
+import random
+from fractions import Fraction
+
+import pytest
+from conftest import SMALL, plan_of
+from pyspark.sql import functions as F
+
+import __spark_entry__ as entry_points
+from agorametric.operators.cells import DIMENSIONS, Cells
+from agorametric.plans import audit, pipeline
+from agorametric.plans.cleaning import clean
+from agorametric.session import temporary_settings
+from agorametric.sources import tables
+from agorametric.sources.delimited import read_raw_csv
+
+ANSI = pytest.mark.parametrize("ansi", ["true", "false"])
+SESSION = {"spark.sql.session.timeZone": "Asia/Tokyo"}
+
+
+def cleaned(spark, raw, ansi):
+    with temporary_settings(spark, {**SESSION, "spark.sql.ansi.enabled": ansi}):
+        return clean(raw).collect()
+
+
+@ANSI
+@pytest.mark.parametrize(
+    "text", ["12:30:00", "T12:30", "12:30:00+00:00", "2015", "2015-06", "", "now", "2015-02-30 00:00:00", "2015-01-01 25:00:00", "2015-01-01x"]
+)
+def test_malformed_times_fail(spark, raw_rows, ansi, text):
+    with pytest.raises(Exception, match="CAST_INVALID_INPUT"):
+        cleaned(spark, raw_rows({"created_at": text}), ansi)
+
+
+@ANSI
+def test_times_follow_their_offset_and_not_the_session(spark, raw_rows, ansi):
+    texts = ["2014-12-31 23:30:00-01:00", "2015-01-01T00:30:00Z", "2015-01-01 09:30:00+09:00", "2015-01-01 00:30", "2015-01-01", None]
+    found = cleaned(spark, raw_rows(*({"created_at": text} for text in texts)), ansi)
+    assert [row["tweet_year"] for row in found] == [2015] * 5 + [None]
+
+
+@ANSI
+@pytest.mark.parametrize("bad", [{"sentiment": "abc"}, {"lat": "abc"}, {"temperature_avg": "1,5"}])
+def test_malformed_numbers_fail(spark, raw_rows, ansi, bad):
+    with pytest.raises(Exception, match="CAST_INVALID_INPUT"):
+        cleaned(spark, raw_rows(bad), ansi)
+
+
+@pytest.mark.parametrize("line", ["now,x,,,t,0,s,g,,a", "short,1"])
+def test_malformed_rows_fail_every_query(spark, tmp_path, line):
+    good = "2015-01-01,1,,,topic,0.1,believer,male,,aggressive"
+    (tmp_path / "in.csv").write_text(f"created_at,id,lng,lat,topic,sentiment,stance,gender,temperature_avg,aggressiveness\n{good}\n{line}\n")
+    rows = read_raw_csv(spark, str(tmp_path))
+    for action in (rows.collect, rows.count, rows.select("topic").collect, rows.select("id").collect):
+        with pytest.raises(Exception, match="MALFORMED|FAILED_READ_FILE"):
+            action()
+
+
+def test_layout_does_not_hang_on_adaptive_execution(spark, sample, tmp_path):
+    counts = []
+    for adaptive in ("true", "false"):
+        with temporary_settings(spark, {"spark.sql.adaptive.enabled": adaptive}):
+            tables.write_clean(clean(sample.repartition(8)), str(tmp_path / adaptive))
+        counts.append(len(list((tmp_path / adaptive).glob("tweet_year=*/*.parquet"))))
+    assert counts == [16, 16]
+
+
+def test_run_passes_its_options_on(spark, monkeypatch):
+    seen = {}
+    monkeypatch.setattr(pipeline, "stage", lambda spark, csv, folder, multi_line: seen.update(multi_line=multi_line))
+    monkeypatch.setattr(pipeline, "load_clean", lambda spark, folder, settings, gather: seen.update(gather=gather))
+    for name in ("merge_cells", "read_cells", "publish_marts"):
+        monkeypatch.setattr(pipeline, name, lambda *_: None)
+    pipeline.run(spark, "in", "out", multi_line=True, gather=False)
+    assert seen == {"multi_line": True, "gather": False}
+
+
+def test_audits_drop_and_round_no_number(raw_rows):
+    found = audit.temperature(raw_rows({"temperature_avg": "1e30"}, {"temperature_avg": "2"})).head()
+    assert (found["max_temp"], found["min_temp"], float(found["avg_temp"])) == (1e30, 2, 5e29)
+    found = audit.longitude(raw_rows({"lng": "-5.2199999999999995e-05"}, {"lng": "-1e-30"})).head()
+    assert (found["min_lng"], found["max_lng"]) == (-5.2199999999999995e-05, -1e-30)
+
+
+def exact_moments(pairs):
+    n = len(pairs)
+    means = [Fraction(sum(values), n) for values in zip(*pairs)]
+    sums = {key: sum((a - means[0]) ** key[0] * (b - means[1]) ** key[1] for a, b in pairs) for key in ((2, 0), (0, 2), (1, 1))}
+    return float(sums[1, 1]) / math.sqrt(sums[2, 0]) / math.sqrt(sums[0, 2]), math.sqrt(sums[0, 2] / (n - 1))
+
+
+@pytest.mark.parametrize(("level", "step"), [(999, 1), (20, 1), (20, 100), (-999, 1), (0, 10_000)])
+def test_moments_are_exact_at_large_levels(spark, level, step):
+    drawn = random.Random(level * step)
+    noisy = [(drawn.randrange(-9, 9), level * 10**7 + at * step + drawn.randrange(-3, 3)) for at in range(400)]
+    straight = [(at * step, level * 10**7 + at * step) for at in range(1000)]
+    for pairs in (noisy, straight):
+        frame = spark.createDataFrame([(a, b) for a, b in pairs], "a long, b long").select(
+            (F.col("a").cast("decimal(17,0)") / F.lit(10**7).cast("decimal(8,0)")).cast("decimal(10,7)").alias("sentiment_score"),
+            (F.col("b").cast("decimal(17,0)") / F.lit(10**7).cast("decimal(8,0)")).cast("decimal(10,7)").alias("temperature_avg"),
+            F.lit(None).cast("timestamp").alias("tweet_timestamp"),
+            (F.col("a") % 3).cast("string").alias("stance"),
+            *[F.lit("x").alias(name) for name in DIMENSIONS if name not in ("stance", "has_sentiment", "has_temperature")],
+        )
+        rows = Cells.of_rows(frame)
+        correlation, deviation = exact_moments(pairs)
+        for cells in (rows, rows.merge(*DIMENSIONS)):
+            found = cells.frame.agg(cells.correlation(9).alias("r"), cells.deviation("temperature_avg", 10).alias("d")).head()
+            assert abs(float(found["r"]) - correlation) < 2e-9 and abs(float(found["d"]) - deviation / 1e7) < 2e-10
+
+
+# Scans of a source or stored table in the plan of a query; each other query has one.
+SCANS = {
+    "clean_reconcile": 2,
+    "clean_layout": 1,
+    "desc_sentiment_by_stance": 3,
+    "desc_sentiment_by_stance_bins": 3,
+}
+
+
+@pytest.mark.parametrize("name", sorted(entry_points.oracle_queries.statements()))
+def test_scans(spark, name):
+    frame = entry_points.queries()[name](spark, SMALL)
+    frame.collect()
+    final = plan_of(frame).split("Initial Plan")[0]
+    assert final.count("FileScan") == SCANS.get(name, 1)
+    assert not any(word in final for word in ("Python", "Cartesian"))
