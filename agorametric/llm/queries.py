@@ -113,4 +113,9 @@ def queries() -> dict[str, Query]:
 
 
 def statements() -> dict[str, str]:
-    return {"op5_merkle_audit": statements_of.MERKLE, "op7_budgets": statements_of.BUDGETS}
+    return {
+        "op5_merkle_audit": statements_of.MERKLE,
+        "op7_budgets": statements_of.BUDGETS,
+        "op9_postings_search": statements_of.POSTINGS,
+        "op10_chat_masks": statements_of.CHAT,
+    }

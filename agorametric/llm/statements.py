@@ -1,5 +1,7 @@
 """DuckDB statements for the registered queries that SQL can express, over whole tables."""
 
+from agorametric.llm.chat import CONTROL, END, TURN
+
 # Both replicas' records compared directly, without trees.
 MERKLE = """
 WITH sides AS (
@@ -85,3 +87,46 @@ SELECT doc_id, own_lang AS lang, own_source AS source, n_tokens, CAST(0 AS BIGIN
 FROM reached AS r JOIN sources AS s ON s.domain = r.domain AND s.lang = r.lang AND s.source = r.source
 WHERE r.reached <= floor(s.share)
 """
+
+# Every query against every candidate.
+POSTINGS = """
+WITH whole AS (
+  SELECT DISTINCT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS vec_id,
+         CAST(list_sum(list_transform(range(1, len(q.v) + 1), lambda i: q.v[i] * c.v[i])) AS BIGINT) AS score
+  FROM whole AS q JOIN whole AS c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id AND len(q.v) = len(c.v)
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS place FROM scored
+)
+SELECT query_id, CAST(place AS INTEGER) AS rank, vec_id, score FROM ranked WHERE place <= 5
+"""
+
+
+def _escaped(column: str) -> str:
+    """Length of a text with its control strings broken and its backslashes doubled."""
+    counts = [f"(length({column}) - length(replace({column}, '{text}', ''))) // {len(text)}" for text in ("\\", *CONTROL)]
+    return " + ".join([f"length({column})", *counts])
+
+
+# Straight from the turns, without rendering or tokens.
+CHAT = f"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]'
+  UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'
+), joined AS (
+  SELECT conv_id, count(*) AS n_turns,
+         string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text) AS said,
+         coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn NULLS FIRST, role, text), '') AS loss,
+         sum({len(TURN) + len(END) + 2} + {_escaped("role")} + length(role) - length(replace(role, chr(10), ''))
+             + {_escaped("text")}) AS formatted_chars
+  FROM turns GROUP BY conv_id
+)
+SELECT conv_id, CAST(n_turns AS BIGINT) AS n_turns, sha256(said) AS turns_sha256, CAST(length(loss) AS BIGINT) AS loss_chars,
+       sha256(loss) AS loss_sha256, CAST(formatted_chars AS BIGINT) AS formatted_chars
+FROM joined
+"""

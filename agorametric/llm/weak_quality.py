@@ -226,9 +226,7 @@ def _rows(documents: DataFrame, text: str, id: str) -> DataFrame:
 def fit(documents: DataFrame, text: str = "text", id: str = "doc_id", train_rows: int = TRAIN_ROWS) -> QualityModel:
     """The label model from all documents; the scorer from about `train_rows` of them, drawn by a hash of the row."""
     drawn = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30))
-    rows = _rows(documents, text, id)
-    # A text's votes are in the same pass as the hash that draws it.
-    voted = rows.select(drawn.alias("drawn"), "text")
+    voted = _rows(documents, text, id).select(drawn.alias("drawn"), "text")
 
     def vote(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         shown = [votes(text or "", (text or "").split()) for text in batch.column(0).to_pylist()]
