@@ -171,7 +171,8 @@ def near_duplicates(documents: DataFrame, text: str = "text", id: str = "doc_id"
     named = classes.join(linked, "fp", "left").select(
         "fp", F.when(F.col("is_linked"), F.col("component_id")).otherwise(F.col("first")).alias("component_id")
     )
-    return prints.join(named, "fp").select("doc_id", "fp", "component_id")
+    # Joined from a stored table, a frequent fingerprint's documents can be split over tasks.
+    return prints.join(stored(named, "named"), "fp").select("doc_id", "fp", "component_id")
 
 
 def digests(found: DataFrame) -> DataFrame:
