@@ -7,7 +7,7 @@ subtree that is short as a whole leaves tokens to the siblings of its ancestors.
 
 A leaf passes over its documents in epochs, each in an order that the seed and the epoch's number decide. Whole epochs
 are taken, then the longest prefix of the next one that fits into the rest. The prefix is found by ranges of the order's
-keys, first coarse, then fine, so no task holds a leaf.
+keys, from coarse to fine, so no task holds a leaf.
 
 Results for odd input: a missing value of a level counts as empty; a missing text or count of tokens counts zero
 tokens; rows that repeat another (same id, same text) are taken or left together; a leaf without weight gets nothing;
@@ -23,8 +23,9 @@ from pyspark.sql import functions as F
 
 from agorametric.llm.common import stored
 
-# Hexadecimal digits of a key in each step of the search for a prefix: 4,096 ranges, and 4,096 in one of these.
-_STEPS = (3, 6, 32)
+# Hexadecimal digits of a key in each step of the search for a prefix: 256 ranges, 256 in one of these, and so on.
+_STEPS = (2, 4, 6, 32)
+_SALTS = 64
 
 
 def _weight(level: str, weights: Mapping[str, Mapping[str, int]]) -> Column:
@@ -94,15 +95,20 @@ def plan(
     rest = allotted.join(leaves, levels).withColumn("__whole", F.floor(whole).cast("long"))
     rest = rest.withColumn("left", F.floor("share").cast("long") - F.col("__whole") * F.col("held"))
     rest = stored(rest.select(*levels, "__whole", "left"), "rest")
-    keyed = slim.join(rest, levels).withColumn("key", _key(seed, F.col("__whole")))
-    keyed = keyed.select(*levels, "key", "__tokens")
+    # A leaf's rows are spread over salts, so that a large leaf is not met by one task.
+    salted = rest.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
+    keyed = slim.withColumn("__salt", F.pmod(F.xxhash64("__row"), F.lit(_SALTS)).cast("int")).join(salted, [*levels, "__salt"])
+    keyed = keyed.select(*levels, _key(seed, F.col("__whole")).alias("key"), "__tokens")
     # Each step looks into the one range per leaf where the sum of tokens passes what is left.
     search = rest.select(*levels, "left", F.lit("").alias("range"), F.lit(None).cast("string").alias("cut"))
-    for digits in _STEPS:
-        inside = keyed.join(search, levels).where(F.substring("key", F.lit(1), F.length("range")) == F.col("range"))
-        sums = inside.groupBy(*levels, "left", F.substring("key", 1, digits).alias("next")).agg(F.sum("__tokens").alias("tokens"))
+    for known, digits in zip((0, *_STEPS), _STEPS):
+        inside = keyed
+        if known:
+            inside = keyed.withColumn("range", F.substring("key", 1, known)).join(search.select(*levels, "range"), [*levels, "range"])
+        sums = inside.groupBy(*levels, F.substring("key", 1, digits).alias("next")).agg(F.sum("__tokens").alias("tokens"))
         running = Window.partitionBy(*levels).orderBy("next")
-        step = sums.withColumn("reached", F.sum("tokens").over(running)).withColumn("fits", F.col("reached") <= F.col("left"))
+        reached = sums.join(search.select(*levels, "left"), levels).withColumn("reached", F.sum("tokens").over(running))
+        step = reached.withColumn("fits", F.col("reached") <= F.col("left"))
         found = step.groupBy(*levels).agg(
             F.max(F.when(F.col("fits"), F.col("reached"))).alias("taken"),
             F.max(F.when(F.col("fits"), F.col("next"))).alias("last"),
