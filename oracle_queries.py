@@ -48,6 +48,7 @@ posts AS (
     CASE WHEN ge IN ('male', 'female') THEN upper(ge[1]) || ge[2:] ELSE 'Unknown' END AS gender,
     coalesce(map {{'aggressive': 'Aggressive', 'not aggressive': 'Not Aggressive'}}[ag], 'Unknown') AS aggressiveness,
     ag = 'aggressive' AS hot,
+    -- Fixed values: region rectangles; the first that holds a point names it.
     coalesce(list_filter([
       CASE WHEN la IS NULL OR lo IS NULL THEN 'Unknown' END,
       CASE WHEN la >= 15 AND la <= 72 AND lo >= -170 AND lo <= -50 THEN 'North America' END,
@@ -533,6 +534,7 @@ def _diagnostic_statements() -> dict[str, str]:
         + " AS weighted_avg_sentiment,"
         f" {share('sum(aggressive_count)', 'CAST(sum(total_tweets) AS HUGEINT)')} AS pct_aggressive"
         f" FROM ({_MONTHS}) GROUP BY season",
+        # Labels for before, in and after the event year.
         "diag_event_period": grouped(
             "['Pre-Paris (2006-2014)', 'Paris Agreement Year (2015)', 'Post-Paris (2016-2022)']"
             "[2 + CAST(coalesce(sign(y - 2015), 1) AS INT)] AS period",
