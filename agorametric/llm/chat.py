@@ -64,12 +64,12 @@ def parse(formatted: str) -> list[tuple[str, str]]:
     return [(unescape(role), unescape(text)) for role, text in _RENDERED.findall(formatted)]
 
 
-def mask(starts: np.ndarray, ends: np.ndarray, spans: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
-    """Token, first byte and byte after the last for every token that shares bytes with a span.
+def mask(starts: np.ndarray, ends: np.ndarray, spans: list[tuple[int, int]]) -> np.ndarray:
+    """Rows of token, first byte and byte after the last for every token that shares bytes with a span.
 
     Token and span borders are sorted. Empty tokens, parts of a character, go with the place where they stand.
     """
-    found = []
+    found = [np.empty((3, 0), np.int32)]
     for start, end in spans:
         if start == end:
             continue
@@ -77,10 +77,9 @@ def mask(starts: np.ndarray, ends: np.ndarray, spans: list[tuple[int, int]]) ->
         if first and ends[first - 1] > start:
             first -= 1
         last = int(np.searchsorted(starts, end))
-        tokens = np.arange(first, last)
-        clipped = zip(tokens.tolist(), np.maximum(starts[first:last], start).tolist(), np.minimum(ends[first:last], end).tolist())
-        found.extend(clipped)
-    return found
+        clipped = np.maximum(starts[first:last], start), np.minimum(ends[first:last], end)
+        found.append(np.stack([np.arange(first, last), *clipped]))
+    return np.concatenate(found, axis=1).T.astype(np.int32)
 
 
 _LIST = pa.list_(pa.int32())
@@ -95,24 +94,35 @@ _SCHEMA = (
 )
 
 
+def _lists(parts: list, values: pa.Array) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, parts)], dtype=np.int32)), values)
+
+
+def _batch(done: list[tuple]) -> pa.RecordBatch:
+    """Conversations as columns; no object is made per token."""
+    ids, texts, *numbers, spans, loss = zip(*done)
+    named = [pa.array(column, kind) for column, kind in zip(zip(*[span for part in spans for span in part]), (pa.string(), pa.int32(), pa.int32()))]
+    masked = [pa.array(column) for column in np.concatenate(loss).T.copy()]
+    columns = [
+        pa.array(ids, pa.int64()),
+        pa.array(texts, pa.string()),
+        *[_lists(parts, pa.array(np.concatenate(parts).astype(np.int32))) for parts in numbers],
+        _lists(spans, pa.StructArray.from_arrays(named, ["role", "start", "end"])),
+        _lists(loss, pa.StructArray.from_arrays(masked, ["token", "start", "end"])),
+    ]
+    return pa.RecordBatch.from_arrays(columns, schema=_OUT)
+
+
 def format_conversations(conversations: DataFrame, model: str, spoken_by: str = SPOKEN_BY) -> DataFrame:
     """One row per conversation: the formatted text, token ids with their byte spans, turn spans and the loss mask."""
     rows = conversations.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.col("role").cast("string"), F.col("text").cast("string"))
     dealt = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
 
-    def one(id: int | None, turns: list[tuple[str | None, str | None]]) -> dict:
+    def one(id: int | None, turns: list[tuple[str | None, str | None]]) -> tuple:
         formatted, spans = render(turns)
         ids, starts, ends = encoder(model, False).encode(formatted.encode())
         loss = mask(starts, ends, [(start, end) for role, start, end in spans if role == spoken_by])
-        return {
-            "conv_id": id,
-            "formatted": formatted,
-            "ids": ids,
-            "starts": starts,
-            "ends": ends,
-            "spans": [{"role": role, "start": start, "end": end} for role, start, end in spans],
-            "loss": [{"token": token, "start": start, "end": end} for token, start, end in loss],
-        }
+        return id, formatted, ids, starts, ends, spans, loss
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done, size, held, turns = [], 0, None, []
@@ -121,17 +131,17 @@ def format_conversations(conversations: DataFrame, model: str, spoken_by: str =
             for id, role, text in zip(ids, roles, texts):
                 if turns and id != held:
                     done.append(one(held, turns))
-                    size += len(done[-1]["formatted"])
+                    size += len(done[-1][1])
                     turns = []
                     if size > 1 << 20:
-                        yield pa.RecordBatch.from_pylist(done, _OUT)
+                        yield _batch(done)
                         done, size = [], 0
                 held = id
                 turns.append((role, text))
         if turns:
             done.append(one(held, turns))
         if done:
-            yield pa.RecordBatch.from_pylist(done, _OUT)
+            yield _batch(done)
 
     return dealt.mapInArrow(run, _SCHEMA)
 
@@ -142,9 +152,9 @@ def digests(formatted: DataFrame) -> DataFrame:
         [("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64())]
     )
 
-    def one(id: int | None, text: str, loss: list[dict]) -> dict:
+    def one(id: int | None, text: str, starts: np.ndarray, ends: np.ndarray) -> dict:
         turns, data = parse(text), text.encode()
-        spoken = unescape(b"".join([data[part["start"] : part["end"]] for part in loss]).decode())
+        spoken = unescape(b"".join([data[start:end] for start, end in zip(starts.tolist(), ends.tolist())]).decode())
         return {
             "conv_id": id,
             "n_turns": len(turns),
@@ -155,7 +165,14 @@ def digests(formatted: DataFrame) -> DataFrame:
         }
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        yield pa.RecordBatch.from_pylist([one(*row) for row in zip(*(column.to_pylist() for column in batch.columns))], schema)
+        loss = batch.column("loss")
+        borders, parts = loss.offsets.to_numpy(), loss.values
+        starts, ends = parts.field("start").to_numpy(), parts.field("end").to_numpy()
+        rows = [
+            one(id.as_py(), text.as_py(), starts[first:last], ends[first:last])
+            for id, text, first, last in zip(batch.column("conv_id"), batch.column("formatted"), borders, borders[1:])
+        ]
+        yield pa.RecordBatch.from_pylist(rows, schema)
 
     shape = "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint"
     return per_batch(formatted.select("conv_id", "formatted", "loss"), shape, run)

@@ -26,7 +26,7 @@ def plain(turns):
     return len(turns), sha(said), len(spoken), sha(spoken)
 
 
-@settings(max_examples=300)
+@settings(max_examples=300, deadline=None)
 @given(MARKUP, MARKUP)
 def test_escapes_read_back(role, text):
     for control in chat.CONTROL:
@@ -37,7 +37,7 @@ def test_escapes_read_back(role, text):
     assert [chat.unescape(formatted.encode()[start:end].decode()) for _, start, end in spans] == [text, text]
 
 
-@settings(max_examples=200)
+@settings(max_examples=200, deadline=None)
 @given(st.lists(st.tuples(st.sampled_from(["user", "assistant"]), MARKUP), max_size=4))
 def test_mask_covers_each_text_once(turns):
     formatted, spans = chat.render(turns)
@@ -76,4 +76,4 @@ def test_odd_rows(spark):
 @pytest.mark.parametrize("spans", [[], [(3, 3)]])
 def test_nothing_under_the_mask(spans):
     _, starts, ends = chat.encoder(piece_model(), False).encode(b"some text")
-    assert chat.mask(starts, ends, spans) == []
+    assert chat.mask(starts, ends, spans).shape == (0, 3)
