@@ -143,7 +143,8 @@ def _linked(rows: np.ndarray, borders: np.ndarray, radius: int) -> pa.RecordBatc
     pairs = [np.empty((0, 2), np.int64)]
     for start, stop in zip(borders, borders[1:]):
         prints = rows[start:stop, 2]
-        near = np.bitwise_count(prints[:, None] ^ prints[None, :]) <= radius
+        # Unsigned: of a negative number numpy counts the bits of the absolute value.
+        near = np.bitwise_count((prints[:, None] ^ prints[None, :]).view(np.uint64)) <= radius
         root = np.arange(len(prints))
         while True:
             # The least root within reach, then the root of that root.

@@ -4,6 +4,7 @@ import random
 from itertools import combinations
 from pathlib import Path
 
+import numpy as np
 import pyarrow.parquet as pq
 import pytest
 import xxhash
@@ -116,6 +117,20 @@ def test_large_buckets_are_split_without_losing_a_link(spark, bucket):
     assert {value: found.get(value, value) for value in signed} == {value: find(value) for value in signed}
 
 
+def test_the_sign_bit_counts_as_one_in_larger_buckets(spark):
+    """Three fingerprints in one bucket; the first two differ in bits 63 and 1 only."""
+    one, two, three = 5, (5 ^ 2) - (1 << 63), 5 ^ 0x3FF0
+    rows = np.array([(0, 0, value) for value in (one, two, three)], np.int64)
+    found = covering._linked(rows, np.array([0, 3]), 4).to_pylist()
+    assert [{row["a"], row["b"]} for row in found] == [{one, two}]
+    frame = prepare(spark).createDataFrame([(value,) for value in (one, two, one ^ 1, three)], "fp long")
+    parts = covering.near_links(frame, 4)
+    links = parts[0]
+    for part in parts[1:]:
+        links = links.union(part)
+    assert {row["node"] for row in components(links).collect()} == {one, two, one ^ 1}
+
+
 def test_a_long_chain_is_one_component(spark):
     links = prepare(spark).range(60).selectExpr("id AS a", "id + 1 AS b")
     found = components(links).collect()
