@@ -6,8 +6,9 @@ digits for digits and letters for letters of the same case in the same layout, v
 names of the same gender and script after the same title. Spellings of one entity have one canonical form, so they get
 matching replacements everywhere.
 
-All distinct entities are then checked: where two would share a replacement, or a replacement is itself an entity of
-the corpus, all but one are drawn again until none is left. Only the entities of that check are shuffled; a text meets
+All distinct entities are then checked by canonical form: where the replacements of two would be spellings of one
+entity, or a replacement is a spelling of an entity of the corpus, all but one are drawn again, each in all its
+spellings, until none is left. Only the entities of that check are shuffled; a text meets
 its redrawn entities by a join with a table that is written first, so that the planner knows its size.
 
 Results for odd input: a missing text stays missing, an empty one empty; texts are read whole; repeated rows are
@@ -138,7 +139,9 @@ def _name(entity: Column, stream: Column, attempt: Column) -> Column:
 
         return F.array_join(F.transform(words, one), " ")
 
-    return F.concat(title, F.when(entity.rlike(r"\p{IsCyrillic}"), made("cyrillic")).otherwise(made("latin")))
+    # By the name alone: an entity has one script, whatever its title's.
+    cyrillic = F.array_join(words, " ").rlike(r"\p{IsCyrillic}")
+    return F.concat(title, F.when(cyrillic, made("cyrillic")).otherwise(made("latin")))
 
 
 def entities(text: Column) -> Column:
@@ -149,21 +152,24 @@ def entities(text: Column) -> Column:
 def _redrawn(known: DataFrame, key: str) -> DataFrame | None:
     """Entities whose first replacement is taken, with the number of the attempt that is free; None if there are none.
 
-    `known` has the distinct entities.
+    `known` has the distinct entities. Entities are told apart, and replacements compared, by canonical form; all
+    spellings of an entity have the same attempt.
     """
-    drawn = known.select("entity", F.lit(0).alias("attempt"), surrogate(F.col("entity"), F.lit(0), key).alias("given"))
+    named = known.select("entity", canonical(F.col("entity")).alias("whose"))
+    originals = named.select(F.col("whose").alias("form")).distinct()
+    drawn = named.select("entity", "whose", F.lit(0).alias("attempt"), surrogate(F.col("entity"), F.lit(0), key).alias("given"))
     drawn = stored(drawn, "given")
     while True:
-        shared = drawn.groupBy("given").agg(F.min(F.struct("attempt", "entity")).alias("first"), F.count("*").alias("n"))
-        shared = shared.where("n > 1").select("given", "first")
-        later = drawn.join(shared, "given").where("attempt <> first.attempt OR entity <> first.entity").select("entity")
-        originals = known.select(F.col("entity").alias("given"))
-        clashes = stored(later.union(drawn.join(originals, "given", "left_semi").select("entity")).distinct(), "clashes")
+        shown = drawn.select("whose", "attempt", canonical(F.col("given")).alias("form")).distinct()
+        shared = shown.groupBy("form").agg(F.min(F.struct("attempt", "whose")).alias("first"), F.count("*").alias("n"))
+        shared = shared.where("n > 1").select("form", "first")
+        later = shown.join(shared, "form").where("whose <> first.whose").select("whose")
+        clashes = stored(later.union(shown.join(originals, "form", "left_semi").select("whose")).distinct(), "clashes")
         if clashes.isEmpty():
             return drawn.where("attempt > 0").select("entity", "attempt") if "again" in drawn.columns else None
-        marked = drawn.select("entity", "attempt").join(clashes.withColumn("hit", F.lit(1)), "entity", "left")
+        marked = drawn.select("entity", "whose", "attempt").join(clashes.withColumn("hit", F.lit(1)), "whose", "left")
         attempt = F.col("attempt") + F.coalesce("hit", F.lit(0))
-        again = marked.select("entity", attempt.alias("attempt"), F.lit(True).alias("again"))
+        again = marked.select("entity", "whose", attempt.alias("attempt"), F.lit(True).alias("again"))
         drawn = stored(again.withColumn("given", surrogate(F.col("entity"), F.col("attempt"), key)), "given")
 
 

@@ -72,6 +72,21 @@ def test_collisions_are_drawn_again(spark):
     assert found[-2:] == found[:2]
 
 
+def test_collisions_are_found_and_drawn_again_over_all_spellings(spark):
+    """More names than there are of three syllables, and mails that fill much of their layout, in several spellings."""
+    names = [chr(65 + a) + chr(97 + b) + chr(97 + c) for a in range(12) for b in range(20) for c in range(20)]
+    titles = ["Mr ", "Mr. ", "Herr ", "Господин "]
+    mails = [f"{chr(97 + a)}@{chr(97 + b)}.org" for a in range(12) for b in range(12)]
+    # Every entity begins with another spelling than its neighbour; every third has only one.
+    people = [[titles[(at + n) % 4] + name for n in range(1 + at % 3)] for at, name in enumerate(names)]
+    people += [[mail, mail.title()][at % 2 :] for at, mail in enumerate(mails)]
+    found = iter(changed(spark, [text for spellings in people for text in spellings]))
+    given = [{next(found).split(" ")[-1].lower() for _ in spellings} for spellings in people]
+    assert all(len(forms) == 1 for forms in given)
+    assert len(set.union(*given)) == len(people)
+    assert not set.union(*given) & {name.lower() for name in [*names, *mails]}
+
+
 def test_clean_texts_stay(spark):
     texts = [None, "", "plain 2023 and 4.0, version 2.0.", "Mr", "a@b", "1.2.3", "0x12", "9" * 17, "x " * 200_000, "12345678901234567890123456789012345678901"]
     assert changed(spark, texts) == texts
