@@ -46,7 +46,7 @@ def test_entry(spark):
 @pytest.fixture
 def folder(tmp_path):
     """A small input of its own, and its query."""
-    shutil.copy(f"{SMALL}/orders.parquet", tmp_path)
+    shutil.copyfile(f"{SMALL}/orders.parquet", tmp_path / "orders.parquet")
     return str(tmp_path)
 
 
