@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from agorametric.llm import statements as statements_of
-from agorametric.llm import budgets, chat, covering, licenses, merkle, pieces, postings, surrogates, vantage, weak_quality
+from agorametric.llm import budgets, chat, covering, licenses, merkle, periodic, pieces, postings, surrogates, vantage, weak_quality
 from agorametric.llm.common import prepare, stored, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -104,12 +105,45 @@ def op10_chat_masks(spark: SparkSession, folder: str) -> DataFrame:
     return chat.digests(chat.format_conversations(rows.union(hostile), piece_model()))
 
 
+def planted_repeats(id: int | None, words: list[bytes]) -> list[bytes]:
+    """One document in ten, by a hash of its id, repeats itself from some word on. A missing id plants nothing."""
+    if id is None or not words:
+        return words
+    hashed, n = zlib.crc32(str(id).encode()), len(words)
+    if hashed % 10:
+        return words
+    drawn = hashed // 10
+    begin = drawn % n
+    period = 1 + (n - begin) // (3 + drawn % 8)
+    repeats = -(-(n - begin) // period)
+    return words[:begin] + (words[begin : begin + period] * repeats)[: n - begin]
+
+
+def op11_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    return periodic.digests(periodic.find_runs(table(spark, folder, "documents"), planted_repeats))
+
+
+_QUERIES = (
+    op1_vantage_search,
+    op2_sentencepiece,
+    op3_covering_simhash,
+    op4_license_templates,
+    op5_merkle_audit,
+    op6_surrogates,
+    op7_budgets,
+    op8_weak_quality,
+    op9_postings_search,
+    op10_chat_masks,
+    op11_periodic_runs,
+)
+
+
 def _prepared(query: Query) -> Query:
     return lambda spark, folder: query(prepare(spark), folder)
 
 
 def queries() -> dict[str, Query]:
-    return {query.__name__: _prepared(query) for query in (op1_vantage_search, op2_sentencepiece, op3_covering_simhash, op4_license_templates, op5_merkle_audit, op6_surrogates, op7_budgets, op8_weak_quality, op9_postings_search, op10_chat_masks)}
+    return {query.__name__: _prepared(query) for query in _QUERIES}
 
 
 def statements() -> dict[str, str]:
