@@ -130,3 +130,28 @@ SELECT conv_id, CAST(n_turns AS BIGINT) AS n_turns, sha256(said) AS turns_sha256
        sha256(loss) AS loss_sha256, CAST(formatted_chars AS BIGINT) AS formatted_chars
 FROM joined
 """
+
+_CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+_BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+
+LINES = f"""
+WITH split AS (
+  SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents
+), numbered AS (
+  SELECT doc_id, lines, row_number() OVER () AS place FROM split
+), keyed AS (
+  SELECT doc_id, place, unnest(lines) AS line, unnest(range(len(lines))) AS spot FROM numbered
+), trimmed AS (
+  SELECT *, translate(trim(line, {_BLANKS}), '{_CAPITALS}', '{_CAPITALS.lower()}') AS key FROM keyed
+), owners AS (
+  SELECT key, min(doc_id) AS owner FROM trimmed WHERE length(key) >= 10 GROUP BY key HAVING count(DISTINCT doc_id) > 1
+), judged AS (
+  SELECT t.*, coalesce(t.doc_id > o.owner, FALSE) AS is_dropped FROM trimmed AS t LEFT JOIN owners AS o ON o.key = t.key
+), grouped AS (
+  SELECT doc_id, place, count(*) AS n_lines, count(*) FILTER (WHERE is_dropped) AS n_dropped,
+         coalesce(string_agg(CASE WHEN NOT is_dropped THEN line END, chr(10) ORDER BY spot), '') AS kept
+  FROM judged GROUP BY doc_id, place
+)
+SELECT doc_id, CAST(n_lines AS BIGINT) AS n_lines, CAST(n_dropped AS BIGINT) AS n_dropped, sha256(kept) AS kept_sha256
+FROM grouped
+"""
