@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from agorametric.llm import statements as statements_of
-from agorametric.llm import budgets, chat, covering, licenses, line_dedup, merkle, periodic, pieces, postings, surrogates, vantage, weak_quality
+from agorametric.llm import budgets, chat, covering, licenses, line_dedup, merkle, norm_buckets, periodic, pieces, postings, surrogates, vantage, weak_quality
 from agorametric.llm.common import prepare, stored, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -123,6 +123,10 @@ def op11_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
     return periodic.digests(periodic.find_runs(table(spark, folder, "documents"), planted_repeats))
 
 
+def op12_norm_buckets(spark: SparkSession, folder: str) -> DataFrame:
+    return norm_buckets.search(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 def op13_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     documents = table(spark, folder, "documents")
     return line_dedup.digests(documents, line_dedup.keep_bitmaps(documents))
@@ -140,6 +144,7 @@ _QUERIES = (
     op9_postings_search,
     op10_chat_masks,
     op11_periodic_runs,
+    op12_norm_buckets,
     op13_line_dedup,
 )
 
@@ -158,5 +163,6 @@ def statements() -> dict[str, str]:
         "op7_budgets": statements_of.BUDGETS,
         "op9_postings_search": statements_of.POSTINGS,
         "op10_chat_masks": statements_of.CHAT,
+        "op12_norm_buckets": statements_of.LEXICAL,
         "op13_line_dedup": statements_of.LINES,
     }

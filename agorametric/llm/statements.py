@@ -155,3 +155,36 @@ WITH split AS (
 SELECT doc_id, CAST(n_lines AS BIGINT) AS n_lines, CAST(n_dropped AS BIGINT) AS n_dropped, sha256(kept) AS kept_sha256
 FROM grouped
 """
+
+
+def _terms(column: str) -> str:
+    small = f"translate(coalesce({column}, ''), '{_CAPITALS}', '{_CAPITALS.lower()}')"
+    return f"regexp_extract_all({small}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
+
+# Every term of every document.
+LEXICAL = f"""
+WITH numbered AS (
+  SELECT row_number() OVER () AS place, doc_id, {_terms("text")} AS terms FROM documents
+), held AS (
+  SELECT * FROM numbered WHERE len(terms) > 0
+), totals AS (
+  SELECT count(*) AS docs, CAST(sum(len(terms)) AS BIGINT) AS words FROM held
+), postings AS (
+  SELECT place, term, count(*) AS tf FROM (SELECT place, unnest(terms) AS term FROM held) GROUP BY place, term
+), weighted AS (
+  SELECT term, CAST(floor(1000 * ln((2 * docs + 2) / (2 * df + 1))) AS BIGINT) AS w
+  FROM (SELECT term, count(*) AS df FROM postings GROUP BY term), totals
+), asked AS (
+  SELECT DISTINCT item_id, unnest({_terms("text")}) AS term FROM benchmark
+), scored AS (
+  SELECT a.item_id, h.doc_id,
+         CAST(sum(w.w * ((1000000000 * p.tf) // (1000 * p.tf + 20 * (50 + (50 * len(h.terms) * t.docs) // t.words)))) AS BIGINT) AS score
+  FROM asked AS a JOIN postings AS p ON p.term = a.term JOIN weighted AS w ON w.term = a.term
+  JOIN held AS h ON h.place = p.place, totals AS t
+  GROUP BY a.item_id, h.place, h.doc_id
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scored WHERE score > 0
+)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM ranked WHERE rank <= 50
+"""
