@@ -7,32 +7,36 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from agorametric.schemas import RAW
+from agorametric.sources.records import quoted_records
 
 # Stands for a quoted empty field while reading, so that it stays apart from a missing one.
 _EMPTY = "\u0001"
 
 
+_FORMAT = {
+    "sep": ",",
+    "encoding": "UTF-8",
+    "quote": '"',
+    "escape": '"',
+    "emptyValue": _EMPTY,
+    "mode": "FAILFAST",
+}
+
+
 def read_raw_csv(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
     """Staging rows by column position. A malformed row fails the job.
 
-    An unquoted empty field is NULL and a quoted one is ''. With `multi_line`, fields may hold line breaks, but each
-    file is then one task; leave it off for large files.
+    An unquoted empty field is NULL and a quoted one is ''. With `multi_line`, fields may hold line breaks: the lines
+    are stored and records are found among them, in as many tasks as without; a quote always opens or closes a field.
     """
     as_text = StructType([StructField(field.name, StringType()) for field in RAW.fields])
-    rows = (
-        spark.read.schema(as_text)
-        .option("header", True)
-        .option("sep", ",")
-        .option("encoding", "UTF-8")
-        .option("quote", '"')
-        .option("escape", '"')
-        .option("emptyValue", _EMPTY)
-        .option("mode", "FAILFAST")
+    if multi_line:
+        parsed = F.from_csv("value", ", ".join(f"{name} string" for name in as_text.names), _FORMAT)
+        rows = quoted_records(spark, path).select(parsed.alias("row")).select("row.*")
+    else:
         # Else a query of few columns would not see that a row is short.
-        .option("columnPruning", False)
-        .option("multiLine", multi_line)
-        .csv(path)
-    )
+        reader = spark.read.schema(as_text).options(**_FORMAT).option("header", True).option("columnPruning", False)
+        rows = reader.csv(path)
     # A condition is evaluated whatever columns a query reads, so a bad id fails every query.
     number = F.expr("try_cast(id AS bigint)")
     bad = F.raise_error(F.concat(F.lit("[MALFORMED_RECORD] id is no number: "), F.col("id"))).cast("boolean")

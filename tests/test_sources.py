@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import random
 from pathlib import Path
 from types import SimpleNamespace
 
@@ -58,6 +59,65 @@ def test_line_breaks_in_fields_need_multi_line(spark, tmp_path):
     assert read_raw_csv(spark, path, multi_line=True).head()["topic"] == "two\nlines"
 
 
+def _one_task(spark, path):
+    """The same files read by Spark's own reader, each in one task."""
+    options = {"header": True, "multiLine": True, "quote": '"', "escape": '"', "emptyValue": "\u0001", "mode": "FAILFAST"}
+    text = spark.read.schema(", ".join(f"{name} string" for name in RAW.names)).options(**options).csv(path)
+    values = [F.expr(f"try_cast({name} AS bigint)") if name == "id" else F.when(F.col(name) == "\u0001", "").otherwise(F.col(name)) for name in RAW.names]
+    return text.select(*[value.alias(name) for value, name in zip(values, RAW.names)])
+
+
+def _quoted(field):
+    return field if field.isalnum() else '"' + field.replace('"', '""') + '"'
+
+
+@pytest.mark.parametrize(("split", "breaks"), [(2_000, 0.3), (300, 0.9), (4_000, 0.002), (100_000_000, 0.3)])
+def test_breaks_in_fields_in_many_tasks(spark, tmp_path, split, breaks):
+    """Records over many lines and over several splits, files of several sizes, and splits without any."""
+    drawn = random.Random(split)
+    folder = tmp_path / "csv"
+    folder.mkdir()
+    at = 0
+    for file, rows in enumerate((200, 0, 3, 80)):
+        text = HEADER + "\n" if file % 2 else '"created\nat",' + HEADER.split(",", 1)[1] + "\n"
+        for _ in range(rows):
+            at += 1
+            topic = "".join(drawn.choice(["word ", '"', "é", ",", "\n", "\n\n", '","', "\n1,2\n"]) for _ in range(drawn.randrange(400 if drawn.random() < 0.02 else 9)))
+            if drawn.random() > breaks:
+                topic = topic.replace("\n", " ")
+            text += f't{at},{at},,"",{_quoted(topic)},0.1,s,"g ",,{drawn.choice(["", "a"])}\n' + "\n" * (drawn.random() < 0.1)
+        (folder / f"{file}.csv").write_text(text[: -1 if file == 3 else None], encoding="utf-8", newline="")
+    settings = {"spark.sql.files.maxPartitionBytes": str(split), "spark.sql.files.openCostInBytes": "1", "spark.sql.files.minPartitionNum": "1"}
+    with temporary_settings(spark, settings):
+        found = read_raw_csv(spark, str(folder), multi_line=True)
+        assert found.schema == RAW
+        assert _difference(found, _one_task(spark, str(folder))) == 0
+        assert found.count() == 283
+        size = sum(file.stat().st_size for file in folder.iterdir())
+        lines = spark.read.option("lineSep", "\n").text(str(folder))
+        assert lines.rdd.getNumPartitions() >= min(size // split, 2)
+
+
+def test_breaks_keep_their_form(spark, tmp_path):
+    file = tmp_path / "posts.csv"
+    file.write_bytes((HEADER + '\r\nt,1,2,3,"a\r\nb",0.1,s,g,5,a\r\n\r\nt,2,2,3,"c\n",0.1,s,g,5,""\r\n').encode())
+    found = {row["id"]: (row["topic"], row["aggressiveness"]) for row in read_raw_csv(spark, str(file), multi_line=True).collect()}
+    assert found == {1: ("a\r\nb", "a"), 2: ("c\n", "")}
+
+
+def test_unclosed_quote_fails_the_load(spark, tmp_path):
+    path = _csv(tmp_path, "t,1,2,3,x,0.1,s,g,5,a", 't,2,2,3,"x,0.1,s,g,5,a', "t,3,2,3,x,0.1,s,g,5,a")
+    with pytest.raises(Exception, match="a quote is not closed"):
+        read_raw_csv(spark, path, multi_line=True).count()
+
+
+@pytest.mark.parametrize("line", ["t,1,2,3", "t,one,2,3,x,0.1,s,g,5,a"])
+def test_malformed_records_fail_the_load(spark, tmp_path, line):
+    path = _csv(tmp_path, 't,1,2,3,"x\n",0.1,s,g,5,a', line)
+    with pytest.raises(Exception, match="MALFORMED_RECORD"):
+        read_raw_csv(spark, path, multi_line=True).select("topic").collect()
+
+
 def test_clean_layout(spark, sample, tmp_path):
     path = str(tmp_path / "clean")
     rows = clean(sample)
