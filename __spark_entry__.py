@@ -117,6 +117,17 @@ def _ingested(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def _ingested_breaks(spark: SparkSession, folder: str) -> DataFrame:
+    """The same with quotes and line breaks in some fields, read in parallel."""
+    broken = F.concat(F.lit('a "\n\n1,2\n'), F.col("topic"))
+    raw = sample_raw(spark, folder).withColumn("topic", F.when(F.col("id") % 7 == 0, broken).otherwise(F.col("topic")))
+
+    def write(path: str) -> None:
+        write_raw_csv(raw, path)
+
+    return _kept(spark, folder, "breaks-csv", write, lambda path: read_raw_csv(spark, path, multi_line=True), raw.count())
+
+
 def _cells(spark: SparkSession, folder: str) -> Cells:
     """Stored cells instead of single posts."""
     rows = _rows(spark, folder)
@@ -188,6 +199,7 @@ _ON_RAW = {
     "audit_lng": audit.longitude,
     "audit_sentiment": audit.sentiment,
     "audit_temperature": audit.temperature,
+    "audit_numbers": audit.numbers,
     "audit_categories": audit.categories,
     "audit_topic": audit.topics,
     "audit_duplicates": audit.duplicates,
@@ -227,6 +239,7 @@ _ON_CLEAN = {
 
 _STORED = {
     "ingest_csv": _ingested,
+    "ingest_csv_breaks": _ingested_breaks,
     "clean_layout": lambda spark, folder: _clean_table(spark, folder),
     "clean_reconcile": _reconciled,
     "mart_from_cells": lambda spark, folder: marts.mart("vw_executive_insights", _cells(spark, folder)),

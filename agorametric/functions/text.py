@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from agorametric.schemas import MEASURE
-from agorametric.settings import NUMBER_PATTERN, TIME_PATTERN
+from agorametric.settings import NUMBER_PATTERN, STRICT_NUMBER_PATTERN, TIME_PATTERN
 
 _MARK = "\u0001 "
 
@@ -20,20 +20,18 @@ def is_number(text: Column) -> Column:
     return text.rlike(NUMBER_PATTERN + r"\z")
 
 
-# Fourteen digits before the point and twenty-four after it.
-WIDE = "decimal(38,24)"
-
-
-def lenient_number(text: Column) -> Column:
-    """The number in `text`, or NULL if it is none or too large for a wide decimal."""
-    return F.when(is_number(text), text.try_cast(WIDE))
-
-
 def nearest_number(text: Column) -> Column:
     """The number in `text` as a double, or NULL if it is none. No number is too large."""
     return F.when(is_number(text), text.cast("double"))
 
 
+def strict_number(text: Column) -> Column:
+    """The number in `text` without blanks around it and without a plus; any other text fails the job."""
+    bare = F.trim(text)
+    bad = F.raise_error(F.concat(F.lit("[CAST_INVALID_INPUT] malformed number: "), text)).cast("string")
+    return F.when(text.isNull() | bare.rlike(STRICT_NUMBER_PATTERN + r"\z"), F.ltrim(bare, F.lit("+"))).otherwise(bad)
+
+
 def strict_time(text: Column) -> Column:
     """Cast that fails the job on text that is no full date or time; the cast itself would fill in the current day."""
     bad = F.raise_error(F.concat(F.lit("[CAST_INVALID_INPUT] malformed time: "), text)).cast("timestamp")

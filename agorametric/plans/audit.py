@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from agorametric.functions.text import WIDE, is_blank, is_number
+from agorametric.functions.text import is_blank, is_number, strict_number
 from agorametric.operators.ordering import in_order, top
-from agorametric.operators.profiles import category_profile, number_profile, tally, wide_average
+from agorametric.operators.profiles import category_profile, exact_numbers, number_profile, tally, with_totals
+from agorametric.operators.wide_numbers import sum_and_average
 from agorametric.settings import DEFAULTS, Settings
 
 
@@ -40,21 +41,35 @@ def temperature(raw: DataFrame) -> DataFrame:
 
 
 def sentiment(raw: DataFrame) -> DataFrame:
-    """Every row must be a number here: the least, greatest and average value are strict casts and fail on others."""
-    text, number = F.col("sentiment"), F.col("number")
+    """Every row must be a number here: the least, greatest and average value are strict and fail on others."""
+    text, number = F.col("sentiment"), strict_number(F.col("sentiment"))
+    parsed = raw.select(text, number.alias("number"), number.cast("double").alias("nearest"))
     valid = tally(is_number(text))
-    return raw.select(text, text.cast(WIDE).alias("number")).agg(
+    measures = [
         F.count(F.lit(1)).alias("total"),
         tally(is_blank(text)).alias("null_or_blank"),
         F.count(text).alias("non_null_rows"),
         valid.alias("valid_numeric"),
         (F.count(F.lit(1)) - valid).alias("problem_rows"),
-        F.min(number).alias("min_sentiment"),
-        F.max(number).alias("max_sentiment"),
-        wide_average(number, 6).alias("avg_sentiment"),
+        F.min("nearest").alias("min_sentiment"),
+        F.max("nearest").alias("max_sentiment"),
+    ]
+    found = with_totals(parsed, measures)
+    average = sum_and_average(F.col("totals"), F.col("filled"), 6)["average"]
+    return found.select(
+        "total",
+        "null_or_blank",
+        F.coalesce("non_null_rows", F.lit(0).cast("bigint")).alias("non_null_rows"),
+        *("valid_numeric", "problem_rows", "min_sentiment", "max_sentiment"),
+        average.try_cast("decimal(38,6)").alias("avg_sentiment"),
     )
 
 
+def numbers(raw: DataFrame) -> DataFrame:
+    """Exact least, greatest, sum and average of the well-formed numbers of each measure, as plain texts."""
+    return exact_numbers(raw, ("lat", "lng", "temperature_avg", "sentiment"))
+
+
 def categories(raw: DataFrame) -> DataFrame:
     """Values as found, before any standardising. Missing ones and the text 'NULL' stay two rows."""
     return in_order(category_profile(raw, ("stance", "gender", "aggressiveness")), "col", "-n", "val")

@@ -37,6 +37,8 @@ SEASON_MONTHS = {"Winter": (12, 1, 2), "Spring": (3, 4, 5), "Summer": (6, 7, 8)}
 
 # Fixed value: what counts as a number in a text column.
 NUMBER_PATTERN = r"^-?[0-9]+\.?[0-9]*([eE][+-]?[0-9]+)?"
+# What a strict cast takes: a plus, and a point before the first digit, too.
+STRICT_NUMBER_PATTERN = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?"
 
 
 # Fixed value: what counts as a time: a full date, alone or with hours and minutes at least, and an offset from UTC.

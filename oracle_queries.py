@@ -16,7 +16,7 @@ HOTSPOT_DEFAULT, COPIES = 500, 12
 SPOILT = {
     "lat": {70: "1e30", 71: "abc", 73: "-91.5", 79: "-5.2199999999999995e-05", 83: "12345678901234567890123.5"},
     "lng": {70: "-180.5", 71: "1,5", 73: "-1e25", 79: "-5.2199999999999995e-05"},
-    "temperature_avg": {70: "1e3", 71: "n/a", 73: "-400.00000000000000000001", 79: "-5.2199999999999995e-05"},
+    "temperature_avg": {70: "1e3", 71: "n/a", 73: "-400.00000000000000000001", 79: "-5.2199999999999995e-05", 89: "12345678901234567890.25"},
 }
 
 # Fixed value: what counts as a number.
@@ -71,6 +71,14 @@ def ratio(top: str, bottom: str, digits: int) -> str:
     )
 
 
+def ratio_text(top: str, bottom: str, digits: int) -> str:
+    """As `ratio`, as text, which a double does not cut."""
+    scale = 10**digits
+    size = f"((2 * abs({top}) * {scale} + ({bottom})) // nullif(2 * ({bottom}), 0))"
+    sign = f"CASE WHEN ({top}) < 0 AND {size} > 0 THEN '-' ELSE '' END"
+    return f"{sign} || CAST({size} // {scale} AS VARCHAR) || '.' || lpad(CAST({size} % {scale} AS VARCHAR), {digits}, '0')"
+
+
 def tally(condition: str) -> str:
     return f"CAST(coalesce(sum(CAST({condition} AS INT)), 0) AS HUGEINT)"
 
@@ -140,7 +148,7 @@ def _number_profile(column: str, suffix: str, limit: int | None, average: bool,
     checked = (
         f"{start}, checked AS (SELECT {column} AS x, regexp_full_match({column}, '{_NUMBER}') AS ok,"
         f" CASE WHEN regexp_full_match({column}, '{_NUMBER}') THEN CAST({column} AS DOUBLE) END AS d,"
-        f" CASE WHEN regexp_full_match({column}, '{_NUMBER}') THEN TRY_CAST({column} AS DECIMAL(30,15)) END AS v FROM {source})"
+        f" CASE WHEN regexp_full_match({column}, '{_NUMBER}') THEN TRY_CAST({column} AS DECIMAL(38,9)) END AS v FROM {source})"
     )
     columns = [
         f"{whole('count(*)')} AS total",
@@ -151,11 +159,27 @@ def _number_profile(column: str, suffix: str, limit: int | None, average: bool,
         columns.append(f"{whole(tally(f'ok AND abs(d) > {limit}'))} AS out_of_range")
     columns += [f"min(d) AS min_{suffix}", f"max(d) AS max_{suffix}"]
     if average:
-        units = "CAST(v * 1000000000000000 AS HUGEINT)"
-        columns.append(f"{ratio(f'sum({units})', 'count(v) * CAST(1000000000000000 AS HUGEINT)', 4)} AS avg_{suffix}")
+        units = "CAST(replace(CAST(v AS VARCHAR), '.', '') AS HUGEINT)"
+        average = ratio_text(f"CAST(sum({units}) AS HUGEINT)", "(CAST(count(v) AS HUGEINT) * 1000000000)", 4)
+        columns.append(f"CAST({average} AS DOUBLE) AS avg_{suffix}")
     return f"{checked} SELECT {', '.join(columns)} FROM checked"
 
 
+def _exact_numbers(*columns: str) -> str:
+    """Exact figures as texts; numbers of up to 21 decimals and 17 digits before the point."""
+    each = " UNION ALL ".join(
+        f"SELECT '{name}' AS col, CASE WHEN regexp_full_match({name}, '{_NUMBER}') THEN {name} END AS x FROM raw" for name in columns
+    )
+    units = "CAST(replace(CAST(v AS VARCHAR), '.', '') AS HUGEINT)"
+    average = ratio_text(f"CAST(sum({units}) AS HUGEINT)", f"(CAST(count(v) AS HUGEINT) * CAST({10**21} AS HUGEINT))", 4)
+    return (
+        f"{_RAW}, listed AS (SELECT col, x, CAST(x AS DECIMAL(38,21)) AS v FROM ({each}))"
+        f" SELECT col, {whole('count(v)')} AS n_numbers, min({{'v': v, 'x': x}}).x AS least, max({{'v': v, 'x': x}}).x AS greatest,"
+        f" rtrim(rtrim(CAST(sum(v) AS VARCHAR), '0'), '.') AS total, {average} AS average"
+        " FROM listed WHERE v IS NOT NULL GROUP BY col"
+    )
+
+
 def _raw_statements() -> dict[str, str]:
     stacked = " UNION ALL ".join(
         f"SELECT '{name}' AS col, coalesce({name}, 'NULL') AS val, {whole('count(*)')} AS n,"
@@ -172,6 +196,9 @@ def _raw_statements() -> dict[str, str]:
         " occurrences FROM raw GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20",
         "audit_id": f"{_RAW} SELECT {whole('count(*)')} AS total, {whole(tally('id IS NULL'))} AS null_ids,"
         " min(id) AS min_id, max(id) AS max_id FROM raw",
+        "audit_numbers": _exact_numbers("lat", "lng", "temperature_avg", "sentiment"),
+        "ingest_csv_breaks": f"{_RAW} SELECT * REPLACE ({whole('id')} AS id, CASE WHEN id % 7 = 0 THEN 'a \"'"
+        " || chr(10) || chr(10) || '1,2' || chr(10) || topic ELSE topic END AS topic) FROM raw",
         "audit_lat": _number_profile("lat", "lat", 90, False),
         "audit_lng": _number_profile("lng", "lng", 180, False),
         "audit_temperature": _number_profile("temperature_avg", "temp", None, True),
