@@ -22,8 +22,8 @@ sys.path.insert(0, str(Path(__file__).resolve().parent))
 
 import oracle_queries  # noqa: E402
 from agorametric.operators.cells import DIMENSIONS, Cells  # noqa: E402
-from agorametric.operators.keys import key_violations  # noqa: E402
-from agorametric.plans import audit, descriptive, diagnostic, marts, pipeline, staging, validation  # noqa: E402
+from agorametric.operators.keys import key_clashes, key_violations  # noqa: E402
+from agorametric.plans import audit, descriptive, diagnostic, marts, pipeline, staging, store, validation  # noqa: E402
 from agorametric.plans.cleaning import clean  # noqa: E402
 from agorametric.schemas import RAW  # noqa: E402
 from agorametric.session import configure, scratch_path  # noqa: E402
@@ -155,6 +155,26 @@ def _published(name: str, spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def _two_loads(spark: SparkSession, folder: str) -> store.Snapshot:
+    """The sample loaded in two steps, the second added to the first."""
+    raw = sample_raw(spark, folder)
+
+    def write(path: str) -> None:
+        for name, part, take in (("first", F.col("id") % 3 > 0, store.load), ("second", F.col("id") % 3 == 0, store.append)):
+            write_raw_csv(raw.where(part), f"{path}/{name}")
+            take(spark, f"{path}/{name}", f"{path}/tables")
+
+    _kept(spark, folder, "two-loads", write, lambda path: store.current(spark, f"{path}/tables").clean(), raw.count())
+    at = _stored_at[spark.sparkContext.applicationId, folder, "two-loads"][0]
+    return store.current(spark, f"{at}/tables")
+
+
+def _clashes(spark: SparkSession, folder: str) -> DataFrame:
+    """Ids of the spoilt sample that the first of the two loads has stored."""
+    first = tables.read_raw(spark, pipeline.locations(_two_loads(spark, folder).parts[0]).raw)
+    return key_clashes(_spoilt(spark, folder), first, "id")
+
+
 def _by_bins(spark: SparkSession, folder: str) -> DataFrame:
     """The report by stance with stored score bins."""
     rows = _rows(spark, folder)
@@ -243,6 +263,13 @@ _STORED = {
     "clean_layout": lambda spark, folder: _clean_table(spark, folder),
     "clean_reconcile": _reconciled,
     "mart_from_cells": lambda spark, folder: marts.mart("vw_executive_insights", _cells(spark, folder)),
+    "key_clashes": _clashes,
+    "appended_clean_tweets": lambda spark, folder: _two_loads(spark, folder).clean(),
+    "appended_correlations": lambda spark, folder: diagnostic.correlations(_two_loads(spark, folder).cells()),
+    **{
+        f"appended_{name}": lambda spark, folder, name=name: _two_loads(spark, folder).mart(name)
+        for name in ("vw_yearly_trends", "vw_monthly_trends", "vw_topic_analysis", "vw_gender_analysis")
+    },
     "key_violations": lambda spark, folder: key_violations(_spoilt(spark, folder), "id"),
     "audit_lat_spoilt": lambda spark, folder: audit.latitude(_spoilt(spark, folder)),
     "audit_lng_spoilt": lambda spark, folder: audit.longitude(_spoilt(spark, folder)),

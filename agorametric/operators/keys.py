@@ -6,6 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+# Keys of a batch that are broadcast, some 16 MB of them.
+BROADCAST_KEYS = 1 << 20
+
+
 class KeyViolation(ValueError):
     """A key is missing or occurs more than once."""
 
@@ -15,6 +19,21 @@ def key_violations(frame: DataFrame, key: str) -> DataFrame:
     return frame.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where(F.col(key).isNull() | (F.col("n") > 1))
 
 
+def key_clashes(batch: DataFrame, stored: DataFrame, key: str) -> DataFrame:
+    """Keys of the batch that are stored already, each once.
+
+    The stored side is one column of the row groups within the batch's range of keys. It stays where it is for a batch
+    of up to `BROADCAST_KEYS` keys; a larger one is joined by hash, behind the planner's own Bloom filter.
+    """
+    keys = batch.select(F.col(key).alias("key")).where("key IS NOT NULL").distinct()
+    low, high, count = keys.agg(F.min("key"), F.max("key"), F.count("key")).first()
+    # A literal range reaches the Parquet reader.
+    near = stored.where(F.col(key).between(F.lit(low), F.lit(high))) if low is not None else stored.limit(0)
+    asked = F.broadcast(keys) if count <= BROADCAST_KEYS else keys
+    found = near.select(F.col(key).alias("key")).join(asked, "key", "left_semi").distinct()
+    return found.select(F.col("key").alias(key))
+
+
 def require_key(frame: DataFrame, key: str) -> None:
     found = key_violations(frame, key).head(1)
     if found:

@@ -1,4 +1,7 @@
-"""The load over stored tables: stage, check, clean, merge, publish. Audits are separate queries."""
+"""The load over stored tables: stage, check, clean, merge, publish. Audits are separate queries.
+
+Tables are replaced where they lie, one after the other. `plans.store` makes such a load take effect all at once.
+"""
 
 from __future__ import annotations
 
@@ -37,7 +40,7 @@ def stage(spark: SparkSession, csv: str, folder: str, multi_line: bool = False)
 
 
 def load_clean(spark: SparkSession, folder: str, settings: Settings = DEFAULTS, gather: bool = True) -> None:
-    """Replaces the clean table. The key is checked first, on the one staged column, so a bad load writes nothing."""
+    """Replaces the clean table. The key is checked first, on the one staged column, so a bad key writes nothing."""
     at = locations(folder)
     raw = tables.read_raw(spark, at.raw)
     require_key(raw, "id")

@@ -205,6 +205,7 @@ def _raw_statements() -> dict[str, str]:
         "audit_lat_spoilt": _number_profile("lat", "lat", 90, False, "spoilt"),
         "audit_lng_spoilt": _number_profile("lng", "lng", 180, False, "spoilt"),
         "audit_temperature_spoilt": _number_profile("temperature_avg", "temp", None, True, "spoilt"),
+        "key_clashes": f"{_RAW}, {_SPOILT} SELECT DISTINCT id FROM spoilt WHERE id IN (SELECT id FROM raw WHERE id % 3 > 0)",
         "key_violations": f"{_RAW}, {_SPOILT} SELECT id, {whole('count(*)')} AS n FROM spoilt"
         " GROUP BY id HAVING id IS NULL OR count(*) > 1",
         "audit_sentiment": f"{_RAW} SELECT {whole('count(*)')} AS total,"
@@ -651,6 +652,9 @@ def _statements() -> dict[str, str]:
     )
     found["desc_sentiment_by_stance_bins"] = found["desc_sentiment_by_stance"]
     found["diag_correlations_cells"] = found["diag_correlations"]
+    found["appended_correlations"] = found["diag_correlations"]
+    for name in ("clean_tweets", "vw_yearly_trends", "vw_monthly_trends", "vw_topic_analysis", "vw_gender_analysis"):
+        found[f"appended_{name}"] = found[name]
     for name in ("vw_yearly_trends", "vw_temp_sentiment", "vw_kpi_summary"):
         found[f"published_{name}"] = found[name]
     return found
