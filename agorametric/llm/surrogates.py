@@ -8,8 +8,9 @@ matching replacements everywhere.
 
 All distinct entities are then checked by canonical form: where the replacements of two would be spellings of one
 entity, or a replacement is a spelling of an entity of the corpus, all but one are drawn again, each in all its
-spellings, until none is left. Only the entities of that check are shuffled; a text meets
-its redrawn entities by a join with a table that is written first, so that the planner knows its size.
+spellings, until none is left. From the seventh redraw on replacements grow by a character each time, so this ends also
+where a layout has hardly more replacements than entities. Only the entities of that check are shuffled; a text meets its
+redrawn entities by a join with a table that is written first, so that the planner knows its size.
 
 Results for odd input: a missing text stays missing, an empty one empty; texts are read whole; repeated rows are
 rewritten alike; rows without an id are rewritten too; an empty table gives an empty table. All columns pass; `text` is
@@ -23,9 +24,19 @@ from pyspark.sql import functions as F
 
 from agorametric.llm.common import stored
 
+# Redraws of one length; each one after them adds a character, so that even a small space of replacements suffices.
+SAME_LENGTH = 6
+
 # Titles by gender. What follows a title is a name.
 FEMALE = ("Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra", "Госпожа")
 MALE = ("Mr", "Herr", "Monsieur", "Señor", "Sr", "Господин")
+# Titles of either gender; their names are given as male ones are.
+EITHER = ("Dr", "Prof")
+TITLES = (*FEMALE, *MALE, *EITHER)
+
+# Letters of a name go on over apostrophes and hyphens, but not into a possessive ending.
+_LETTER = r"(?!['’]s(?!\p{L}))['’-]?\p{L}"
+_WORD = rf"\p{{Lu}}(?:{_LETTER}){{1,40}}(?!{_LETTER})"
 
 PATTERNS = {
     "mail": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,8}",
@@ -33,11 +44,11 @@ PATTERNS = {
     "network": r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?!\d|\.\d)",
     "secret": r"(?<![0-9A-Za-z])(?=[0-9]*[a-f])[0-9a-f]{32,128}(?![0-9A-Za-z])",
     "card": r"(?<![\d.])\d{4}([ -]?)\d{4}\1\d{4}\1\d{4}(?![\d])",
-    "name": rf"(?<![\p{{L}}])(?:{'|'.join(FEMALE + MALE)})\.? \p{{Lu}}\p{{Ll}}{{1,30}}(?: \p{{Lu}}\p{{Ll}}{{1,30}})?",
+    "name": rf"(?<![\p{{L}}])(?:{'|'.join(TITLES)})\.? {_WORD}(?: {_WORD})?",
 }
 _ANY = "|".join(PATTERNS.values())
 # What each entity has, so that most texts are passed over by a plain search.
-_HINT = rf"[0-9@]|(?:{'|'.join(FEMALE + MALE)})\.? "
+_HINT = rf"[0-9@]|(?:{'|'.join(TITLES)})\.? "
 
 # Syllables of made names, per script, and the endings of female, male and family names.
 SYLLABLES = {
@@ -63,7 +74,9 @@ def canonical(entity: Column) -> Column:
     essence = (
         F.when(entity.rlike(r"^\p{Lu}") & ~entity.contains("@"), F.lower(F.regexp_replace(entity, r"^\p{L}+\.? ", "")))
         .when(entity.rlike(r"^\d{1,3}(\.\d{1,3}){3}$"), entity)
-        .otherwise(F.regexp_replace(F.lower(entity), "[^0-9a-z@]", ""))
+        # Dots and signs tell mail addresses apart.
+        .when(entity.contains("@"), F.lower(entity))
+        .otherwise(F.regexp_replace(F.lower(entity), "[^0-9a-z]", ""))
     )
     return F.concat(kind_of(entity), F.lit(":"), essence, F.when(kind_of(entity) == "name", _gender(entity)).otherwise(""))
 
@@ -83,10 +96,18 @@ def surrogate(entity: Column, attempt: Column, key: str) -> Column:
     return (
         F.when(kind_of(entity) == "name", _name(entity, stream, attempt))
         .when(kind_of(entity) == "network", F.array_join(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda at: (1 + _byte(stream, at) % 254).cast("string")), "."))
-        .otherwise(_alike(entity, stream))
+        .otherwise(_longer(entity, _alike(entity, stream), F.sha2(F.concat(seed, F.lit("more")), 256), attempt))
     )
 
 
+def _longer(entity: Column, given: Column, drawn: Column, attempt: Column) -> Column:
+    """From the seventh redraw on one more character each time: letters before a mail address, else digits at the end."""
+    more = F.least(attempt.cast("int") - SAME_LENGTH, F.lit(64))
+    letters = F.left(F.translate(drawn, "0123456789", "ghijklmnop"), more)
+    digits = F.left(F.translate(drawn, "abcdef", "012345"), more)
+    return F.when(more <= 0, given).when(entity.contains("@"), F.concat(letters, given)).otherwise(F.concat(given, digits))
+
+
 def _byte(stream: Column, at: Column) -> Column:
     return F.conv(F.substring(stream, 2 * at + 1, F.lit(2)), 16, 10).cast("int")
 

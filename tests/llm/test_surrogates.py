@@ -87,6 +87,22 @@ def test_collisions_are_found_and_drawn_again_over_all_spellings(spark):
     assert not set.union(*given) & {name.lower() for name in [*names, *mails]}
 
 
+def test_a_small_space_of_replacements_ends(spark):
+    """Most of all addresses of one layout: there are not enough others of that length."""
+    mails = [f"{chr(97 + at // 26)}@{chr(97 + at % 26)}.de" for at in range(500)]
+    found = changed(spark, mails)
+    assert len(set(found)) == 500 and not set(found) & set(mails)
+    assert all(re.fullmatch(r"[a-z]+@[a-z]\.de", mail) for mail in found)
+
+
+def test_whole_names(spark):
+    """Inner capitals, apostrophes and hyphens belong to a name, a possessive ending does not; titles of either gender."""
+    [found] = changed(spark, ["Mr McDonald and Frau Meyer-Schulz met Mr O'Brien, Dr Smith and Prof. Lee; Dr Smith's car"])
+    assert re.fullmatch(r"Mr (\p{L})".replace("\\p{L}", "[A-Z][a-z]+r") + r" and Frau [A-Z][a-z]+r met Mr [A-Z][a-z]+r, Dr ([A-Z][a-z]+r) and Prof\. [A-Z][a-z]+r; Dr \2's car", found)
+    [one, two] = changed(spark, ["a.b@x.com", "ab@x.com"])
+    assert one.replace(".", "") != two.replace(".", "")
+
+
 def test_clean_texts_stay(spark):
     texts = [None, "", "plain 2023 and 4.0, version 2.0.", "Mr", "a@b", "1.2.3", "0x12", "9" * 17, "x " * 200_000, "12345678901234567890123456789012345678901"]
     assert changed(spark, texts) == texts
