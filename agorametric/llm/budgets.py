@@ -11,7 +11,7 @@ keys, from coarse to fine, so no task holds a leaf.
 
 Results for odd input: a missing value of a level counts as empty; a missing text or count of tokens counts zero
 tokens; rows that repeat another (same id, same text) are taken or left together; a leaf without weight gets nothing;
-an empty table gives an empty table. All columns pass; columns of the same names as the added ones are not looked at.
+an empty table gives an empty table. All columns pass with their values, whatever their names.
 """
 
 from __future__ import annotations
@@ -73,10 +73,12 @@ def _fill(nodes: DataFrame, above: list[str], level: str) -> DataFrame:
 
 
 def _named(documents: DataFrame, levels: Mapping[str, Column], tokens: Column, id: str, text: str) -> DataFrame:
-    """Columns that the operator works with, under names of its own."""
+    """Columns that the operator works with, and the documents' own columns by number, so that no names clash."""
     found = {f"__{name}": F.coalesce(value.cast("string"), F.lit("")) for name, value in levels.items()}
     row = F.concat_ws("|", F.coalesce(F.col(id).cast("string"), F.lit("")), F.md5(F.coalesce(F.col(text), F.lit(""))))
-    return documents.withColumns({**found, "__tokens": F.coalesce(tokens.cast("long"), F.lit(0)), "__row": row})
+    added = {**found, "__tokens": F.coalesce(tokens.cast("long"), F.lit(0)), "__row": row}
+    own = [F.col(f"`{name}`").alias(f"column {at}") for at, name in enumerate(documents.columns)]
+    return documents.select(*own, *[value.alias(name) for name, value in added.items()])
 
 
 def _key(seed: int, epoch: Column) -> Column:
@@ -140,7 +142,7 @@ def mix(
     """The documents that are taken, once for each epoch that takes them.
 
     `levels` names the tree's levels from the top; `weights` gives whole weights of values by level; `budget` is a
-    function of the column total, the tokens of all documents in all `epochs`; `epoch` names a column to add.
+    function of the column total, the tokens of all documents in all `epochs`; `epoch` names a column to add, or to replace.
     """
     named = _named(documents, levels, tokens, id, text)
     names = [f"__{name}" for name in levels]
@@ -149,5 +151,5 @@ def mix(
     more = F.when(_key(seed, F.col("__whole")) <= F.col("__cut"), 1).otherwise(0)
     times = joined.withColumn("__times", (F.col("__whole") + more).cast("int")).where("__times > 0")
     taken = times.withColumn("__epoch", F.explode(F.sequence(F.lit(0), F.col("__times") - 1)))
-    columns = [F.col(name) for name in documents.columns]
+    columns = [F.col(f"column {at}").alias(name) for at, name in enumerate(documents.columns) if name != epoch]
     return taken.select(*columns, *([F.col("__epoch").cast("long").alias(epoch)] if epoch else []))

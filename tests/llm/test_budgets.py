@@ -111,3 +111,15 @@ def test_empty_and_missing(spark):
     everything = {"levels": {"source": F.col("source")}, "weights": {}, "budget": F.col("total"), "tokens": F.length("text")}
     assert sorted(str(row["doc_id"]) for row in budgets.mix(frame, **everything).collect()) == ["2", "3", "None"]
     assert budgets.mix(frame.limit(0), **everything).count() == 0
+
+
+def test_columns_with_the_names_of_its_own(spark):
+    own = ["epoch", "__row", "__whole", "__cut", "__tokens", "__source", "column 0", "row.name", "held", "total"]
+    schema = "doc_id long, text string, source string, " + ", ".join(f"`{name}` string" for name in own)
+    frame = prepare(spark).createDataFrame([(at, f"text {at}", "s", *[f"{name}{at}" for name in own]) for at in range(3)], schema)
+    tree = {"levels": {"source": F.col("source")}, "weights": {}, "budget": F.col("total"), "tokens": F.length("text")}
+    found = budgets.mix(frame, **tree)
+    assert found.columns == frame.columns and sorted(found.collect()) == sorted(frame.collect())
+    named = budgets.mix(frame, **tree, epochs=2, epoch="epoch")
+    assert sorted(named.columns) == sorted(frame.columns) and sorted((row["doc_id"], row["epoch"]) for row in named.collect()) == [(at, epoch) for at in range(3) for epoch in range(2)]
+    assert {row["__row"] for row in named.collect()} == {f"__row{at}" for at in range(3)}
