@@ -1,9 +1,10 @@
 """Operator 5: Merkle fixity audit of WARC files, by built-in functions only.
 
-A replica is a table of records: file, byte offset, length and content hash. Records are hashed into leaves, one for
-each range of `LEAF_BYTES` bytes of a file that has records, in order of their offsets; inner nodes hash their children
-in order, up to a root per file. The replicas' roots are compared, and only branches whose hashes differ are descended,
-level by level, down to the records: `changed` at the same offset, `missing` or `extra` in the second replica.
+A replica is a table of records: file, byte offset, length and content hash. Each replica's tree is built from its own
+records and stored: records are hashed into leaves, one for each range of `LEAF_BYTES` bytes of a file that has records,
+in order of their offsets; inner nodes hash their children in order, up to a root per file. Then the roots are compared,
+and only branches whose hashes differ are descended, level by level. Records are read again only where leaves differ,
+and not at all where no root does: `changed` at the same offset, `missing` or `extra` in the second replica.
 
 Results for odd input: missing urls and contents count as empty; a record that repeats another counts once; of
 different records at one offset each is compared by its content, as one place with a list of hashes; a file that only
@@ -25,6 +26,9 @@ FANOUT = 16
 # Pages of one file.
 FILE_PAGES = 512
 
+# Copies of one record that are placed together.
+COPIES_AT_ONCE = 1 << 12
+
 
 def warc_record(url: Column, page: Column, content: Column) -> Column:
     """A response record as text; its bytes are its UTF-8 form."""
@@ -47,7 +51,9 @@ def records_of(pages: DataFrame, **others: Column) -> DataFrame:
     """Pages as records: page_id, file, offset, length, sha256. Further named columns of the page may be kept.
 
     A file holds the pages of a range of ids, in the order of id and hash; pages without an id are spread over files
-    by their url. Only hashes and lengths are shuffled.
+    by their url. Only hashes and lengths are shuffled. Equal pages are counted first and placed in blocks of copies;
+    a file's offsets are sums over its shares (of one id and one start of the hash) and then within a share, so that no
+    task holds a file of any size.
     """
     text = warc_record(F.col("url"), F.col("page_id"), F.col("html"))
     spread = F.concat(F.lit("none-"), F.substring(F.md5(F.coalesce(F.col("url"), F.lit(""))), 1, 3))
@@ -59,57 +65,101 @@ def records_of(pages: DataFrame, **others: Column) -> DataFrame:
         F.sha2(text, 256).alias("sha256"),
         *[column.alias(name) for name, column in others.items()],
     )
-    order = Window.partitionBy("file").orderBy("page_id", "sha256").rowsBetween(Window.unboundedPreceding, -1)
-    return slim.withColumn("offset", F.coalesce(F.sum("length").over(order), F.lit(0)))
-
+    share = F.substring("sha256", 1, 2)
+    different = stored(slim.groupBy(*slim.columns).agg(F.count("*").alias("copies")).withColumn("share", share), "pages")
+    size = F.sum(F.col("length") * F.col("copies"))
+    before = Window.rowsBetween(Window.unboundedPreceding, -1)
+    in_file = before.partitionBy("file").orderBy("page_id", "share")
+    shares = different.groupBy("file", "page_id", "share").agg(size.alias("size"))
+    begins = shares.select(
+        F.col("file").alias("in_file"),
+        F.col("page_id").alias("of_page"),
+        F.col("share").alias("of_share"),
+        F.coalesce(F.sum("size").over(in_file), F.lit(0)).alias("begin"),
+    )
+    same = (F.col("file") == F.col("in_file")) & F.col("page_id").eqNullSafe(F.col("of_page")) & (F.col("share") == F.col("of_share"))
+    in_share = before.partitionBy("file", "page_id", "share").orderBy("sha256", *others)
+    placed = different.join(begins, same).withColumn("begin", F.col("begin") + F.coalesce(size.over(in_share), F.lit(0)))
+    # Many copies of one page are blocks first, so that they are spread over tasks.
+    blocks = placed.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("copies") - 1, F.lit(COPIES_AT_ONCE))))
+    last = F.least(F.col("block") + COPIES_AT_ONCE, F.col("copies")) - 1
+    copies = blocks.repartition("file", "begin", "block").withColumn("copy", F.explode(F.sequence(F.col("block"), last)))
+    return copies.select(*slim.columns, (F.col("begin") + F.col("copy") * F.col("length")).alias("offset"))
 
-def _hashed(side: str, *parts: str) -> Column:
-    """Hash of a side's rows in order; null without any."""
-    rows = F.sort_array(F.collect_list(F.when(F.col(side), F.struct(*parts))))
-    lines = F.transform(rows, lambda row: F.concat_ws(":", *[row[part].cast("string") for part in parts]))
-    return F.when(F.size(rows) > 0, F.sha2(F.array_join(lines, "\n"), 256))
 
+def _hashed(*parts: str) -> Column:
+    """Hash of a node's different rows in order."""
+    rows = F.sort_array(F.collect_set(F.struct(*parts)))
+    lines = F.transform(rows, lambda row: F.concat_ws(":", *[F.coalesce(row[part].cast("string"), F.lit("-")) for part in parts]))
+    return F.sha2(F.array_join(lines, "\n"), 256)
 
-def trees(records: DataFrame, leaf_bytes: int = LEAF_BYTES, fanout: int = FANOUT) -> list[DataFrame]:
-    """Levels of nodes from the leaves up: file, node, left, right (the hashes of both replicas).
 
-    `records` has file, offset, length, sha256 and the flags in_left and in_right.
-    """
+def tree(records: DataFrame, leaf_bytes: int = LEAF_BYTES, fanout: int = FANOUT) -> list[DataFrame]:
+    """One replica's levels of nodes from the leaves up to a root per file: file, node, hash."""
     leaf = records.withColumn("node", F.floor(F.col("offset") / leaf_bytes))
-    parts = "offset", "length", "sha256"
-    level = leaf.groupBy("file", "node").agg(_hashed("in_left", *parts).alias("left"), _hashed("in_right", *parts).alias("right"))
-    levels = [stored(level, "level")]
+    levels = [stored(leaf.groupBy("file", "node").agg(_hashed("offset", "length", "sha256").alias("hash")), "level")]
     top = levels[0].agg(F.max("node")).first()[0] or 0
     while top > 0:
-        below = levels[-1].select("file", F.col("node").alias("child"), "left", "right")
-        above = below.withColumns({"node": F.floor(F.col("child") / fanout), "has_left": F.col("left").isNotNull(), "has_right": F.col("right").isNotNull()})
-        level = above.groupBy("file", "node").agg(_hashed("has_left", "child", "left").alias("left"), _hashed("has_right", "child", "right").alias("right"))
-        levels.append(stored(level, "level"))
+        levels.append(_above(levels[-1], fanout))
         top //= fanout
     return levels
 
 
-def differing_leaves(levels: list[DataFrame], fanout: int = FANOUT) -> DataFrame:
-    """Rows (file, node) of leaves that differ, found by descending from the roots."""
-    differ = ~F.col("left").eqNullSafe(F.col("right"))
-    found = levels[-1].where(differ).select("file", "node")
-    for level in reversed(levels[:-1]):
-        branches = found.withColumnRenamed("node", "parent")
-        inside = level.withColumn("parent", F.floor(F.col("node") / fanout)).join(branches, ["file", "parent"], "left_semi")
-        found = inside.where(differ).select("file", "node")
+def _above(level: DataFrame, fanout: int) -> DataFrame:
+    children = level.select("file", F.col("node").alias("child"), F.col("hash").alias("below"))
+    above = children.withColumn("node", F.floor(F.col("child") / fanout))
+    return stored(above.groupBy("file", "node").agg(_hashed("child", "below").alias("hash")), "level")
+
+
+def differing_leaves(left: list[DataFrame], right: list[DataFrame], fanout: int = FANOUT) -> DataFrame | None:
+    """Rows (file, node) of leaves that differ, found by descending from the roots; None where all roots are equal."""
+    left, right = list(left), list(right)
+    for levels, other in ((left, right), (right, left)):
+        while len(levels) < len(other):
+            levels.append(_above(levels[-1], fanout))
+    found = None
+    for level, other in zip(reversed(left), reversed(right)):
+        if found is not None:
+            branches = found.withColumnRenamed("node", "parent")
+            level, other = (
+                side.withColumn("parent", F.floor(F.col("node") / fanout)).join(branches, ["file", "parent"], "left_semi")
+                for side in (level, other)
+            )
+        nodes = level.select("file", "node", "hash").join(other.select("file", "node", F.col("hash").alias("other")), ["file", "node"], "full")
+        found = stored(nodes.where(~F.col("hash").eqNullSafe(F.col("other"))).select("file", "node"), "differing")
+        if found.isEmpty():
+            return None
     return found
 
 
 def audit(left: DataFrame, right: DataFrame, leaf_bytes: int = LEAF_BYTES, fanout: int = FANOUT) -> DataFrame:
     """Where the second replica differs: file, offset, length (of the first, if it has one), kind and both hashes."""
-    named = [F.col("file").cast("string").alias("file"), *[F.col(name).cast("long").alias(name) for name in ("offset", "length")], F.col("sha256")]
-    sides = left.select(*named, F.lit(True).alias("in_left")).union(right.select(*named, F.lit(False)))
-    placed = sides.where("file IS NOT NULL AND offset IS NOT NULL")
+
+    def placed(replica: DataFrame) -> DataFrame:
+        numbers = [F.col(name).cast("long").alias(name) for name in ("offset", "length")]
+        named = replica.select(F.col("file").cast("string").alias("file"), *numbers, "sha256")
+        return stored(named.where("file IS NOT NULL AND offset IS NOT NULL"), "replica")
+
+    left, right = placed(left), placed(right)
+    leaves = differing_leaves(tree(left, leaf_bytes, fanout), tree(right, leaf_bytes, fanout), fanout)
+    if leaves is None:
+        return left.sparkSession.createDataFrame([], "file string, offset long, length long, kind string, left_sha256 string, right_sha256 string")
+    return differing_places(left, right, leaves, leaf_bytes)
+
+
+def differing_places(left: DataFrame, right: DataFrame, leaves: DataFrame, leaf_bytes: int = LEAF_BYTES) -> DataFrame:
+    """Both replicas' records under the given leaves, compared place by place."""
+
+    def under(replica: DataFrame, is_left: bool) -> DataFrame:
+        node = F.floor(F.col("offset") / leaf_bytes)
+        inside = replica.withColumn("node", node).join(leaves, ["file", "node"], "left_semi")
+        return inside.select("file", "offset", "length", "sha256", F.lit(is_left).alias("is_left"))
+
     # One row per different record, with the replicas that have it: repeated rows are gone before lists are made.
-    records = placed.groupBy("file", "offset", "length", "sha256").agg(F.max("in_left").alias("in_left"), F.max(~F.col("in_left")).alias("in_right"))
-    records = stored(records, "records")
-    leaves = differing_leaves(trees(records, leaf_bytes, fanout), fanout)
-    inside = records.withColumn("node", F.floor(F.col("offset") / leaf_bytes)).join(leaves, ["file", "node"], "left_semi")
+    sides = under(left, True).union(under(right, False))
+    inside = sides.groupBy("file", "offset", "length", "sha256").agg(
+        F.max("is_left").alias("in_left"), F.max(~F.col("is_left")).alias("in_right")
+    )
 
     def hashes(side: str) -> Column:
         return F.array_join(F.sort_array(F.collect_set(F.when(F.col(side), F.col("sha256")))), ",")

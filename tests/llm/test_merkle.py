@@ -57,12 +57,53 @@ def test_against_a_direct_comparison(spark, leaf_bytes, fanout):
 
 def test_only_differing_branches_are_descended(spark):
     rows = [("a", at * 10, 10, str(at), "") for at in range(64)]
-    records = replica(spark, rows).selectExpr("*", "true AS in_left", "offset <> 630 AS in_right")
-    levels = merkle.trees(records, 10, 4)
-    assert [level.count() for level in levels] == [64, 16, 4, 1]
-    assert [tuple(row) for row in merkle.differing_leaves(levels, 4).collect()] == [("a", 63)]
-    same = merkle.trees(records.where("in_right"), 10, 4)
-    assert merkle.differing_leaves(same, 4).count() == 0
+    whole, cut = (merkle.tree(replica(spark, part), 10, 4) for part in (rows, rows[:-1]))
+    assert [level.count() for level in whole] == [64, 16, 4, 1]
+    assert [tuple(row) for row in merkle.differing_leaves(whole, cut, 4).collect()] == [("a", 63)]
+    assert merkle.differing_leaves(whole, merkle.tree(replica(spark, rows[::-1]), 10, 4), 4) is None
+
+
+def test_nothing_below_equal_roots_is_read(spark, monkeypatch):
+    rows = replica(spark, [(file, at * 10, 10, f"{file}{at}", "") for file in "ab" for at in range(64)])
+    one, other = merkle.tree(rows, 10, 4), merkle.tree(rows, 10, 4)
+    unread = spark.range(1).selectExpr("raise_error('read')::string AS file", "1L AS node", "'' AS hash")
+    assert merkle.differing_leaves([unread] * 3 + one[-1:], [unread] * 3 + other[-1:], 4) is None
+    monkeypatch.setattr(merkle, "differing_places", None)
+    assert merkle.audit(rows, rows, 10, 4).count() == 0
+
+
+def test_replicas_of_different_heights(spark):
+    rows = [("a", 0, 10, "x", ""), ("b", 0, 10, "y", "")]
+    more = [*rows, ("b", 10_000, 10, "z", "")]
+    for one, other in ((rows, more), (more, rows)):
+        found = merkle.audit(replica(spark, one), replica(spark, other), 10, 4)
+        assert sorted(map(tuple, found.collect()), key=str) == plain(one, other)
+
+
+def test_records_are_compared_only_under_differing_leaves(spark):
+    rows = [("a", at * 10, 10, str(at), "") for at in range(64)]
+    rotten = [("a", at * 10, 10, "rot" if at == 9 else str(at), "") for at in range(64)]
+    one, other = replica(spark, rows), replica(spark, rotten)
+    leaves = merkle.differing_leaves(merkle.tree(one, 20, 4), merkle.tree(other, 20, 4), 4)
+    assert [tuple(row) for row in leaves.collect()] == [("a", 4)]
+    plan = merkle.differing_places(one, other, leaves, 20)._jdf.queryExecution().optimizedPlan().toString()
+    # Each replica meets the leaves before anything is grouped.
+    assert plan.count("Join LeftSemi") == 2 and plan.index("Aggregate") < plan.index("Join LeftSemi")
+
+
+def test_copies_of_one_page_take_their_places(spark, monkeypatch):
+    monkeypatch.setattr(merkle, "COPIES_AT_ONCE", 4)
+    drawn = random.Random(3)
+    pages = [(id, f"u{url}", "x" * drawn.randrange(5)) for id in (None, 1, 2, 600) for url in range(3) for _ in range(drawn.randrange(1, 12))]
+    rows = merkle.records_of(prepare(spark).createDataFrame(pages, "page_id long, url string, html string")).collect()
+    assert len(rows) == len(pages)
+    files = {}
+    for row in sorted(rows, key=lambda row: row["offset"]):
+        files.setdefault(row["file"], []).append(row)
+    for listed in files.values():
+        assert [row["offset"] for row in listed] == [sum(row["length"] for row in listed[:at]) for at in range(len(listed))]
+        order = [(row["page_id"] or 0, row["sha256"]) for row in listed]
+        assert order == sorted(order)
 
 
 def test_odd_rows(spark):
