@@ -13,7 +13,7 @@ spanning star for each of its connected parts.
 Results for odd input: a missing or blank text has fingerprint zero and links like any other; texts of fewer than four
 words are one shingle; equal fingerprints are one class, so repeated rows and copies cost nothing more; rows without an
 id get a fingerprint and their component, whose id is the smallest id in it (null if it has none); an empty table
-gives an empty table. Only the id column passes.
+gives an empty table. Only the id column passes, from `representatives` all columns.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from agorametric.llm.common import per_batch, stored
@@ -68,15 +68,18 @@ def _ones(hashes: np.ndarray) -> np.ndarray:
     return total
 
 
-def fingerprints(documents: DataFrame, text: str = "text", id: str = "doc_id") -> DataFrame:
-    """Rows (doc_id, fp) of every document; one narrow pass over whole texts."""
-    rows = documents.select(F.col(id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text"))
+def fingerprints(documents: DataFrame, text: str = "text", id: str = "doc_id", row: Column | None = None) -> DataFrame:
+    """Rows (doc_id, fp) of every document, with the number `row` if it is given; one narrow pass over whole texts."""
+    passed = [F.col(id).cast("long").alias("doc_id")] + ([] if row is None else [row.alias("row")])
+    rows = documents.select(*passed, F.col(text).cast("binary").alias("text"))
+    names = [*rows.columns[:-1], "fp"]
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        prints = pa.array([fingerprint(data) for data in batch.column(1).to_pylist()], pa.int64())
-        yield pa.RecordBatch.from_arrays([batch.column(0), prints], names=["doc_id", "fp"])
+        *kept, texts = batch.columns
+        prints = pa.array([fingerprint(data) for data in texts.to_pylist()], pa.int64())
+        yield pa.RecordBatch.from_arrays([*kept, prints], names=names)
 
-    return per_batch(rows, "doc_id long, fp long", run)
+    return per_batch(rows, ", ".join(f"{name} long" for name in names), run)
 
 
 def covering_masks(radius: int = RADIUS, seed: int = 0) -> list[int]:
@@ -159,19 +162,26 @@ def _linked(rows: np.ndarray, borders: np.ndarray, radius: int) -> pa.RecordBatc
     return pa.RecordBatch.from_arrays([pa.array(found[:, 0].copy()), pa.array(found[:, 1].copy())], names=["a", "b"])
 
 
-def near_duplicates(documents: DataFrame, text: str = "text", id: str = "doc_id", radius: int = RADIUS) -> DataFrame:
-    """Per document doc_id, fp and component_id, the smallest id that is linked to it over any chain."""
-    prints = stored(fingerprints(documents, text, id), "prints")
-    classes = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "classes")
+def classes(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """Per distinct fp its component: root, a fingerprint of it, and component_id, the smallest doc_id in it."""
+    distinct = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "classes")
     links = None
-    for part in near_links(classes, radius):
+    for part in near_links(distinct, radius):
         links = part if links is None else links.union(part)
-    members = components(links).join(classes, F.col("node") == F.col("fp"))
+    members = components(links).join(distinct, F.col("node") == F.col("fp"))
     least = members.groupBy("root").agg(F.min("first").alias("component_id"))
-    linked = members.join(least, "root").select("fp", "component_id", F.lit(True).alias("is_linked"))
-    named = classes.join(linked, "fp", "left").select(
-        "fp", F.when(F.col("is_linked"), F.col("component_id")).otherwise(F.col("first")).alias("component_id")
+    linked = members.join(least, "root").select("fp", "root", "component_id")
+    return distinct.join(linked, "fp", "left").select(
+        "fp",
+        F.coalesce("root", "fp").alias("root"),
+        F.when(F.col("root").isNotNull(), F.col("component_id")).otherwise(F.col("first")).alias("component_id"),
     )
+
+
+def near_duplicates(documents: DataFrame, text: str = "text", id: str = "doc_id", radius: int = RADIUS) -> DataFrame:
+    """Per document doc_id, fp and component_id, the smallest id that is linked to it over any chain."""
+    prints = stored(fingerprints(documents, text, id), "prints")
+    named = classes(prints, radius).select("fp", "component_id")
     # Joined from a stored table, a frequent fingerprint's documents can be split over tasks.
     return prints.join(stored(named, "named"), "fp").select("doc_id", "fp", "component_id")
 
@@ -181,18 +191,31 @@ def digests(found: DataFrame) -> DataFrame:
     return found.select("doc_id", fingerprint.alias("fingerprint"), "component_id")
 
 
-def representatives(documents: DataFrame, text: str = "text", id: str = "doc_id") -> DataFrame:
-    """The documents without near-duplicates: of each component the one with the smallest id stays.
+def representatives(documents: DataFrame, text: str = "text", id: str = "doc_id", radius: int = RADIUS) -> DataFrame:
+    """The documents without near-duplicates: of each component one row stays, that with the smallest id.
 
-    Rows with the same id count as one document, the first by their content. Rows without an id stay as they are.
+    Rows are told apart by id and by a hash of all their columns, so unlinked texts stay whatever their ids. A row
+    without an id stays only where no row of its component has one; of rows that tie, the one with the smallest hash,
+    once.
     """
-    found = near_duplicates(documents, text, id)
-    kept = found.where("doc_id = component_id").select(F.col("doc_id").alias(id)).distinct()
-    rows = F.struct(*[F.col(name) for name in documents.columns])
-    named = (
-        documents.join(kept, id, "left_semi")
-        .groupBy(id)
-        .agg(F.min_by(rows, F.xxhash64(*documents.columns)).alias("row"))
-        .select("row.*")
-    )
-    return named.union(documents.where(F.col(id).isNull()))
+    hashed = F.xxhash64(*[F.col(name) for name in documents.columns])
+    prints = stored(fingerprints(documents, text, id, hashed), "prints")
+    different = prints.groupBy("fp", "doc_id", "row").agg(F.count("*").alias("copies"))
+    order = F.struct(F.col("doc_id").isNull().alias("is_last"), "doc_id", "row", "copies")
+    first = different.groupBy("fp").agg(F.min(order).alias("kept"))
+    roots = stored(classes(prints, radius).select("fp", "root"), "named")
+    kept = stored(first.join(roots, "fp").groupBy("root").agg(F.min("kept").alias("kept")).select("kept.*"), "kept")
+
+    def named(chosen: DataFrame) -> DataFrame:
+        same = F.col(f"all.{id}").cast("long").eqNullSafe(F.col("chosen.doc_id")) & (F.col("all.hashed") == F.col("chosen.row"))
+        slim = chosen.select("doc_id", "row").alias("chosen")
+        rows = documents.select(F.col(id), F.struct(*[F.col(name) for name in documents.columns]).alias("whole"), hashed.alias("hashed"))
+        return rows.alias("all").join(slim, same, "left_semi")
+
+    # A row of which the table holds more copies is reduced to one; others need no grouping.
+    single = named(kept.where("copies = 1")).select("whole.*")
+    repeated = kept.where("copies > 1")
+    if repeated.isEmpty():
+        return single
+    once = named(repeated).groupBy(F.col(id).alias("of"), "hashed").agg(F.min("whole").alias("whole"))
+    return single.union(once.select("whole.*"))

@@ -81,11 +81,25 @@ def test_odd_rows(spark):
     assert ordered(found) == ordered(plain_components(rows))
     kept = covering.representatives(frame)
     assert kept.columns == ["doc_id", "text", "fp"]
-    assert sorted((row["doc_id"] or 0) for row in kept.collect()) == [0, 0, 1, 4, 7]
+    assert sorted((row["doc_id"] or 0) for row in kept.collect()) == [0, 1, 4, 7]
     assert covering.near_duplicates(frame.limit(0)).count() == 0
     assert covering.representatives(frame.limit(0)).count() == 0
 
 
+def test_representatives_go_by_row_not_by_id(spark):
+    far = ["all of one kind of words here", "something wholly else is told there", "a third and last text follows now"]
+    # Column names of the operator's own; texts one and two share an id, texts three are there without an id only.
+    rows = [(1, far[0], 1, 1), (1, far[1], 1, 1), (5, far[1], 1, 1), (None, far[1], 1, 1), *[(None, far[2], 1, 1)] * 3, (None, far[2], 1, 2)]
+    frame = prepare(spark).createDataFrame(rows, "doc_id long, text string, row int, copies int")
+    found = covering.representatives(frame)
+    assert found.columns == frame.columns
+    listed = [tuple(row) for row in found.collect()]
+    assert sorted(row[:2] for row in listed if row[0]) == [(1, far[0]), (1, far[1])]
+    assert [row[1] for row in listed if row[0] is None] == [far[2]]
+    mixed = covering.representatives(frame.repartition(3)).collect()
+    assert sorted(map(str, mixed)) == sorted(map(str, found.collect()))
+
+
 @pytest.mark.parametrize("bucket", [24, 2048])
 def test_large_buckets_are_split_without_losing_a_link(spark, bucket):
     """Chains and dense groups of fingerprints, with buckets that hold far fewer rows than the groups."""
