@@ -4,10 +4,11 @@ Heuristic labellers each speak up for good or for bad documents or abstain. Thei
 documents (2 to the number of labellers patterns at most), and expectation-maximisation on these counts estimates the
 share of good documents and how often each labeller is right and wrong. Each pattern's posterior labels its documents. A
 logistic scorer over hashed word shapes, short words and repetitions is fitted to the posteriors of a sample of about
-`TRAIN_ROWS` documents and scores all of them.
+`TRAIN_ROWS` documents, of `TRAIN_ENTRIES` features at most, and scores all of them. The sample is drawn and ordered by a
+hash of id and text, so the model depends on the documents alone and not on the order in which tasks finish.
 
 Results for odd input: a text without words gets no vote, scores zero and is rejected; texts of any length are read
-whole; repeated rows get the same score, also in the sample; an empty table gives an empty table. Rows without an id
+whole; repeated rows get the same score and count once in the sample; an empty table gives an empty table. Rows without an id
 take part like others. Only the id column passes.
 """
 
@@ -24,12 +25,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from agorametric.llm.common import per_batch
+from agorametric.llm.common import per_batch, stored
 
 GOOD, BAD = 1, 0
 
-# Documents, about, that the scorer is fitted to, and its hash buckets.
+# Documents, about, that the scorer is fitted to, their features at most (16 bytes each), and its hash buckets.
 TRAIN_ROWS = 4000
+TRAIN_ENTRIES = 1 << 23
 BUCKETS = 1 << 13
 # Words that are added to each text without a feature: the shortest texts keep close to the bias.
 SMOOTH = 10
@@ -225,8 +227,7 @@ def _rows(documents: DataFrame, text: str, id: str) -> DataFrame:
 
 def fit(documents: DataFrame, text: str = "text", id: str = "doc_id", train_rows: int = TRAIN_ROWS) -> QualityModel:
     """The label model from all documents; the scorer from about `train_rows` of them, drawn by a hash of the row."""
-    drawn = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30))
-    voted = _rows(documents, text, id).select(drawn.alias("drawn"), "text")
+    voted = _rows(documents, text, id).select(F.xxhash64("doc_id", "text").alias("row"), "text")
 
     def vote(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         shown = [votes(text or "", (text or "").split()) for text in batch.column(0).to_pylist()]
@@ -235,30 +236,48 @@ def fit(documents: DataFrame, text: str = "text", id: str = "doc_id", train_rows
     counted = per_batch(voted.select("text"), "votes string", vote).groupBy("votes").count()
     patterns = {row["votes"]: row["count"] for row in counted.collect()}
     labels = fit_labels(patterns)
-
-    def look(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        features, found = Features(), []
-        for drawn, text in zip(*(column.to_pylist() for column in batch.columns)):
-            words = (text or "").split()
-            buckets, shares = features.shares(words)
-            found.append({"drawn": drawn, "votes": votes(text or "", words), "buckets": buckets, "shares": shares})
-        yield pa.RecordBatch.from_pylist(found, _SAMPLE)
-
-    most = int((1 << 30) * min(1.0, train_rows / max(1, sum(patterns.values()))))
-    sample = per_batch(
-        voted.where(F.col("drawn") < most), "drawn long, votes string, buckets array<long>, shares array<double>", look
-    ).limit(2 * train_rows)
-    taken = sorted(sample.collect(), key=lambda row: (row["drawn"], row["votes"], row["buckets"]))
+    taken = _sample(voted, sum(patterns.values()), train_rows)
     targets = np.array([labels.posterior.get(row["votes"], 0.0) for row in taken])
     weights, bias = fit_scorer([(np.array(row["buckets"], np.int64), np.array(row["shares"])) for row in taken], targets)
     return QualityModel(labels, weights, bias)
 
 
+_DRAWS = 1 << 30
 _SAMPLE = pa.schema(
-    [("drawn", pa.int64()), ("votes", pa.string()), ("buckets", pa.list_(pa.int64())), ("shares", pa.list_(pa.float64()))]
+    [("row", pa.int64()), ("votes", pa.string()), ("buckets", pa.list_(pa.int64())), ("shares", pa.list_(pa.float64()))]
 )
 
 
+def _sample(rows: DataFrame, total: int, train_rows: int) -> list:
+    """Votes and features of about `train_rows` different rows, in the order of their hashes.
+
+    Where repeated rows leave fewer than half of them, more are drawn.
+    """
+
+    def look(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        features, found = Features(), []
+        for row, text in dict(zip(*(column.to_pylist() for column in batch.columns))).items():
+            words = (text or "").split()
+            buckets, shares = features.shares(words)
+            found.append({"row": row, "votes": votes(text or "", words), "buckets": buckets, "shares": shares})
+        yield pa.RecordBatch.from_pylist(found, _SAMPLE)
+
+    kinds = "row long, votes string, buckets array<long>, shares array<double>"
+    most = min(_DRAWS, int(_DRAWS * train_rows / max(1, total)) + 1)
+    while True:
+        drawn = rows.where(F.pmod("row", F.lit(_DRAWS)) < most)
+        sample = stored(per_batch(drawn, kinds, look).dropDuplicates(["row"]), "sample")
+        sizes = sample.select("row", F.size("buckets").alias("size")).orderBy("row").limit(2 * train_rows).collect()
+        if most == _DRAWS or 2 * len(sizes) >= train_rows:
+            break
+        most = min(_DRAWS, 4 * most)
+    upto = np.cumsum([row["size"] for row in sizes])
+    within = int(np.searchsorted(upto, TRAIN_ENTRIES, "right"))
+    if not within:
+        return []
+    return sorted(sample.where(F.col("row") <= sizes[within - 1]["row"]).collect(), key=lambda row: row["row"])
+
+
 def score(documents: DataFrame, model: QualityModel, text: str = "text", id: str = "doc_id") -> DataFrame:
     """Per document doc_id, votes, posterior (of its votes), score and is_kept. One narrow pass."""
     rows = _rows(documents, text, id)

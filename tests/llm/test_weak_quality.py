@@ -56,6 +56,58 @@ def test_labellers_that_agree_are_trusted():
     assert model.accuracy()["signs"] > 0.9
 
 
+def plain_labels(patterns, rounds=50):
+    """Expectation-maximisation pattern by pattern, in plain numbers."""
+    kinds = [kind for kind, _ in wq.LABELLERS.values()]
+    begin = {(kind, truth): wq.SPEAKS_UP[kind][kind != truth] for kind in (0, 1) for truth in (0, 1)}
+    good, chance = wq.GOOD_SHARE, [[begin[kind, truth] for truth in (0, 1)] for kind in kinds]
+    found = {}
+    for _ in range(rounds):
+        for pattern in patterns:
+            like = [1 - good, good]
+            for truth in (0, 1):
+                for at, sign in enumerate(pattern):
+                    like[truth] *= chance[at][truth] if sign != " " else 1 - chance[at][truth]
+            found[pattern] = like[1] / sum(like)
+        mass = [sum(n * (share if truth else 1 - share) for n, share in zip(patterns.values(), found.values())) for truth in (0, 1)]
+        good = (mass[1] + wq.GOOD_SHARE * wq.START_WEIGHT) / (sum(mass) + wq.START_WEIGHT)
+        for at, kind in enumerate(kinds):
+            for truth in (0, 1):
+                spoken = sum(patterns[name] * (found[name] if truth else 1 - found[name]) for name in patterns if name[at] != " ")
+                chance[at][truth] = (spoken + begin[kind, truth] * wq.START_WEIGHT) / (mass[truth] + wq.START_WEIGHT)
+    return good, found
+
+
+def test_estimates_against_plain_expectation_maximisation():
+    counted = Counter(wq.votes(row["text"], row["text"].split()) for row in rows_of("documents"))
+    patterns = {name: count for name, count in sorted(counted.items()) if name.strip()}
+    model, (good, found) = wq.fit_labels(counted), plain_labels(patterns)
+    assert abs(model.good - good) < 1e-9 and model.posterior.keys() == found.keys()
+    assert all(abs(model.posterior[name] - found[name]) < 1e-6 for name in found)
+
+
+def test_the_model_does_not_depend_on_order_or_repeated_rows_of_the_sample(spark):
+    documents = prepare(spark).read.parquet(f"{FOLDER}/documents.parquet").select("doc_id", "text")
+    hot = documents.where("doc_id = 1").selectExpr("*", "explode(sequence(1, 10000))").drop("col")
+    rows = documents.union(hot)
+    models = [wq.fit(rows.repartition(parts, *by), train_rows=300) for parts, by in ((3, ["text"]), (7, ["doc_id"]))]
+    assert models[0].labels.posterior == models[1].labels.posterior
+    assert models[0].bias == models[1].bias and (models[0].weights == models[1].weights).all()
+    assert models[0].weights.any()
+
+
+def test_the_sample_is_bounded_in_rows_and_features(spark, monkeypatch):
+    words = [(at, " ".join(f"w{at}x{word}" for word in range(50))) for at in range(40)]
+    rows = prepare(spark).createDataFrame(words, "row long, text string")
+    whole = wq._sample(rows, 40, 40)
+    assert [row["row"] for row in whole] == list(range(40))
+    assert [row["row"] for row in wq._sample(rows, 40, 4)] == list(range(8))
+    # Ten thousand copies of one row leave few different ones; more are drawn until there are enough.
+    assert len(wq._sample(rows, 10_000, 20)) >= 10
+    monkeypatch.setattr(wq, "TRAIN_ENTRIES", sum(len(row["buckets"]) for row in whole[:5]))
+    assert [row["row"] for row in wq._sample(rows, 40, 40)] == list(range(5))
+
+
 def test_scorer_learns_and_takes_no_rows():
     weights, bias = wq.fit_scorer([], np.array([]))
     assert not weights.any() and bias == 0
