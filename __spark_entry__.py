@@ -62,8 +62,8 @@ def portable(frame: DataFrame) -> DataFrame:
     return frame.select(*columns)
 
 
-# Where an application has stored a table of a folder, and which input it was made from.
-_stored_at: dict[tuple[str, str, str], tuple[str, tuple]] = {}
+# Where an application has stored a table of a folder, which input it was made from, and how many rows it has.
+_stored_at: dict[tuple[str, str, str], tuple[str, tuple, int]] = {}
 
 
 def _identity(spark: SparkSession, folder: str) -> tuple:
@@ -74,21 +74,30 @@ def _identity(spark: SparkSession, folder: str) -> tuple:
 
 
 def _kept(
-    spark: SparkSession, folder: str, name: str, write: Callable[[str], None], read: Callable[[str], DataFrame], rows: int | None
+    spark: SparkSession,
+    folder: str,
+    name: str,
+    write: Callable[[str], None],
+    read: Callable[[str], DataFrame],
+    rows: int | None = None,
+    whole: Callable[[str], DataFrame] | None = None,
 ) -> DataFrame:
-    """A table stored once per folder and input, in one place per name; stored again unless it is whole."""
+    """A table stored once per folder and input, in one place per name; stored again unless it is whole.
+
+    It is whole with `rows` rows or, where these are not known, with as many as were written. Of several tables under
+    one name `whole` reads them all.
+    """
     key, identity = (spark.sparkContext.applicationId, folder, name), _identity(spark, folder)
-    path, made_from = _stored_at.get(key, (None, None))
+    path, made_from, written = _stored_at.get(key, (None, None, None))
     if path and made_from == identity:
         try:
-            found = read(path)
-            if rows is None or found.count() == rows:
-                return found
+            if (whole or read)(path).count() == (written if rows is None else rows):
+                return read(path)
         except AnalysisException:
             pass  # The shared folder was emptied meanwhile.
     path = path or scratch_path(spark, name)
     write(path)
-    _stored_at[key] = path, identity
+    _stored_at[key] = path, identity, (whole or read)(path).count() if rows is None else rows
     return read(path)
 
 
@@ -137,7 +146,6 @@ def _cells(spark: SparkSession, folder: str) -> Cells:
         "cells",
         lambda path: rows.merge(*DIMENSIONS).frame.write.mode("overwrite").parquet(path),
         lambda path: spark.read.parquet(path),
-        None,
     )
     return Cells(stored, merged=True)
 
@@ -145,13 +153,17 @@ def _cells(spark: SparkSession, folder: str) -> Cells:
 def _published(name: str, spark: SparkSession, folder: str) -> DataFrame:
     """A mart as dashboards read it: published as a table, and read back."""
     cells = _cells(spark, folder)
+
+    def read(path: str, name: str = name) -> DataFrame:
+        return spark.read.parquet(f"{pipeline.locations(path).marts}/{name}")
+
     return _kept(
         spark,
         folder,
         "published",
         lambda path: pipeline.publish_marts(cells, path),
-        lambda path: spark.read.parquet(f"{pipeline.locations(path).marts}/{name}"),
-        None,
+        read,
+        whole=lambda path: reduce(DataFrame.union, [read(path, mart).select(F.lit(1)) for mart in marts.MARTS]),
     )
 
 
@@ -184,7 +196,6 @@ def _by_bins(spark: SparkSession, folder: str) -> DataFrame:
         "bins",
         lambda path: descriptive.score_bins(rows).frame.write.mode("overwrite").parquet(path),
         lambda path: spark.read.parquet(path),
-        None,
     )
     return descriptive.sentiment_by_stance(rows, Cells(bins, merged=True))
 
@@ -241,6 +252,7 @@ _ON_CLEAN = {
     "desc_geolocation": descriptive.geolocation,
     "desc_continent": descriptive.continents,
     "desc_sentiment_by_stance": descriptive.sentiment_by_stance,
+    "desc_sentiment_by_place": descriptive.sentiment_by_place,
     "diag_yearly_shift": diagnostic.yearly_shift,
     "diag_yoy_direction": diagnostic.yoy_direction,
     "diag_divisive_topics": diagnostic.divisive_topics,
@@ -277,7 +289,7 @@ _STORED = {
     "desc_sentiment_by_stance_bins": _by_bins,
     "diag_correlations_cells": lambda spark, folder: diagnostic.correlations(_cells(spark, folder)),
     "diag_hotspots_default": lambda spark, folder: diagnostic.hotspots(_many(spark, folder)),
-    **{f"published_{name}": partial(_published, name) for name in ("vw_yearly_trends", "vw_temp_sentiment", "vw_kpi_summary")},
+    **{f"published_{name}": partial(_published, name) for name in marts.MARTS},
 }
 
 

@@ -9,7 +9,7 @@ from agorametric.functions.ratios import steps_down
 from agorametric.functions.rules import bucket_edge, score_bin
 from agorametric.operators.cells import Cells
 from agorametric.operators.ordering import in_order
-from agorametric.operators.quantiles import exact_median
+from agorametric.operators.quantiles import exact_median, median_by
 from agorametric.operators.shares import with_share
 from agorametric.plans.marts import mart
 from agorametric.session import scratch_path
@@ -106,3 +106,10 @@ def sentiment_by_stance(rows: Cells, bins: Cells | None = None) -> DataFrame:
         *summary.columns, F.round("median", 4).alias("median_sentiment")
     )
     return in_order(joined, "-tweets", "stance")
+
+
+def sentiment_by_place(rows: Cells) -> DataFrame:
+    """Scored posts and their median score at each pair of coordinates; posts without coordinates are one place."""
+    found = median_by(rows.frame, ["lat", "lng"], "sentiment_score", "median")
+    named = found.select("lat", "lng", F.col("n").alias("scored_tweets"), F.round("median", 4).alias("median_sentiment"))
+    return in_order(named, "lat", "lng")

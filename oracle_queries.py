@@ -489,6 +489,10 @@ def _descriptive_statements() -> dict[str, str]:
         "desc_continent": _distribution("continent AS continent", "tweets", where="continent <> 'Unknown'"),
         "desc_sentiment_by_stance": f"SELECT f.*, {ratio('twice', 'CAST(20000000 AS HUGEINT)', 4)} AS"
         f" median_sentiment FROM ({figures}) f LEFT JOIN {middle} ON st = f.stance",
+        "desc_sentiment_by_place": "SELECT CAST(la AS DOUBLE) AS lat, CAST(lo AS DOUBLE) AS lng, CAST(max(size) AS BIGINT) AS"
+        f" scored_tweets, {ratio('CAST(sum(s7) AS HUGEINT) * 2 // count(*)', 'CAST(20000000 AS HUGEINT)', 4)} AS median_sentiment"
+        " FROM (SELECT la, lo, s7, row_number() OVER (PARTITION BY la, lo ORDER BY s7) AS place, count(*) OVER (PARTITION BY la, lo)"
+        " AS size FROM posts WHERE s7 IS NOT NULL) WHERE place IN ((size + 1) // 2, size // 2 + 1) GROUP BY la, lo",
     }
 
 
@@ -589,6 +593,7 @@ ORDERS = {
     "desc_gender": "-total gender",
     "desc_sentiment_by_stance": "-tweets stance",
     "desc_sentiment_by_stance_bins": "-tweets stance",
+    "desc_sentiment_by_place": "lat lng",
     "desc_sentiment_histogram": "sentiment_bucket",
     "desc_stance": "-total stance",
     "desc_topic": "-total_tweets topic",
@@ -655,6 +660,6 @@ def _statements() -> dict[str, str]:
     found["appended_correlations"] = found["diag_correlations"]
     for name in ("clean_tweets", "vw_yearly_trends", "vw_monthly_trends", "vw_topic_analysis", "vw_gender_analysis"):
         found[f"appended_{name}"] = found[name]
-    for name in ("vw_yearly_trends", "vw_temp_sentiment", "vw_kpi_summary"):
+    for name in [name for name in found if name.startswith("vw_")]:
         found[f"published_{name}"] = found[name]
     return found

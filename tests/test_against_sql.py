@@ -71,6 +71,14 @@ def test_stored_table_is_rebuilt_when_the_input_is_replaced(spark, folder):
     assert rows > 100 == counted(spark, folder)
 
 
+@pytest.mark.parametrize(("query", "name"), [("diag_correlations_cells", "cells"), ("desc_sentiment_by_stance_bins", "bins"), ("published_vw_monthly_trends", "published")])
+def test_small_stored_tables_are_rebuilt_when_a_file_is_lost(spark, folder, query, name):
+    rows = QUERIES[query](spark, folder).collect()
+    largest = max(stored(spark, folder, name).rglob("*.parquet"), key=lambda file: file.stat().st_size)
+    largest.unlink()
+    assert QUERIES[query](spark, folder).collect() == rows
+
+
 def test_repeated_queries_leave_one_copy(spark, folder):
     for _ in range(2):
         QUERIES["ingest_csv"](spark, folder).count()

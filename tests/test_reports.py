@@ -11,7 +11,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from agorametric.operators.cells import DIMENSIONS, Cells
-from agorametric.operators.quantiles import exact_median
+from agorametric.operators.quantiles import exact_median, median_by
 from agorametric.plans import descriptive, diagnostic, marts, validation
 from agorametric.plans.cleaning import clean
 from agorametric.schemas import RAW
@@ -181,6 +181,34 @@ def test_median_equals_brute_force(cells_of, groups):
     assert {row["stance"]: row["median"] for row in found.collect()} == expected
 
 
+@pytest.mark.parametrize(("direct", "parts"), [(1, 16), (3, 100), (4096, 1024)])
+def test_median_for_any_key_equals_brute_force(spark, direct, parts):
+    """One key with a third of all rows, many keys of one or two rows, missing keys and values, scores far apart."""
+    drawn = random.Random(direct)
+    rows = [(None if key == 5 else key, drawn.choice("ab"), drawn.choice([None, 0, -1, drawn.randrange(-99, 99), drawn.randrange(-(10**9), 10**9)])) for key in (*range(60), *[1] * 40, *[5] * 9)]
+    frame = spark.createDataFrame([(*keys, None if value is None else Decimal(value).scaleb(-7)) for *keys, value in rows], "n int, value string, score decimal(10,7)")
+    groups = {}
+    for *keys, value in rows:
+        if value is not None:
+            groups.setdefault(tuple(keys), []).append(Decimal(value).scaleb(-7))
+    found = median_by(frame, ["n", "value"], "score", "median", direct, parts).toDF("one", "two", "n", "median")
+    assert {(row["one"], row["two"]): (row["n"], row["median"]) for row in found.collect()} == {
+        key: (len(values), statistics.median(values)) for key, values in groups.items()
+    }
+
+
+def test_median_of_wide_numbers_and_of_nothing(spark):
+    ends = 10**17 - 1
+    found = median_by(spark.createDataFrame([(1, ends), (1, ends - 1), (2, -ends), (2, ends)], "key int, value long"), ["key"], "value", "median", 1, 100)
+    assert {row["key"]: row["median"] for row in found.collect()} == {1: Decimal(2 * ends - 1) / 2, 2: 0}
+    tenth = spark.createDataFrame([(1, Decimal("0.99999999999999999")), (1, Decimal("0.99999999999999998"))], "key int, value decimal(17,17)")
+    assert median_by(tenth, ["key"], "value", "median").first()["median"] == Decimal("0.999999999999999985")
+    assert median_by(tenth.limit(0), ["key"], "value", "median").count() == 0
+    assert median_by(tenth, [], "value", "median").first()["n"] == 2
+    with pytest.raises(TypeError):
+        median_by(spark.range(1).selectExpr("id", "1.5D AS value"), ["id"], "value", "median")
+
+
 def test_a_third_of_all_posts_alike(spark, raw_rows):
     """One topic, year, stance and score hold a third of the posts; every figure agrees with built-in aggregates."""
     many = raw_rows({}).select(*(F.col(name) for name in RAW.names if name != "id"))
