@@ -132,6 +132,8 @@ SCANS = {
     "audit_numbers": 2,
     "clean_reconcile": 2,
     "clean_layout": 1,
+    # The different values, and the sizes of the keys twice: for the ranks and for the result.
+    "desc_sentiment_by_place": 3,
     "desc_sentiment_by_stance": 3,
     "desc_sentiment_by_stance_bins": 3,
     # The lines once for the splits, and once for each of three kinds of records with their splits.
