@@ -11,7 +11,7 @@ keys, from coarse to fine, so no task holds a leaf.
 
 Results for odd input: a missing value of a level counts as empty; a missing text or count of tokens counts zero
 tokens; rows that repeat another (same id, same text) are taken or left together; a leaf without weight gets nothing;
-an empty table gives an empty table. All columns pass with their values, whatever their names.
+rows without tokens are taken once at least where their leaf is used up, but in no epoch beyond the last; an empty table gives an empty table. All columns pass with their values, whatever their names.
 """
 
 from __future__ import annotations
@@ -148,7 +148,8 @@ def mix(
     names = [f"__{name}" for name in levels]
     chosen = stored(plan(named, names, budget, {f"__{name}": listed for name, listed in weights.items()}, epochs, seed), "plan")
     joined = named.join(chosen, names)
-    more = F.when(_key(seed, F.col("__whole")) <= F.col("__cut"), 1).otherwise(0)
+    # Rows without tokens would fit into an epoch beyond the last.
+    more = F.when((F.col("__whole") < epochs) & (_key(seed, F.col("__whole")) <= F.col("__cut")), 1).otherwise(0)
     times = joined.withColumn("__times", (F.col("__whole") + more).cast("int")).where("__times > 0")
     taken = times.withColumn("__epoch", F.explode(F.sequence(F.lit(0), F.col("__times") - 1)))
     columns = [F.col(f"column {at}").alias(name) for at, name in enumerate(documents.columns) if name != epoch]

@@ -77,10 +77,15 @@ def mix_tokens() -> Column:
     return F.floor((F.length("text") + 3) / 4)
 
 
+# A leaf may be passed over this often.
+MIX_EPOCHS = 3
+
+
 def op7_budgets(spark: SparkSession, folder: str) -> DataFrame:
+    """As many tokens as the documents hold, in the target weights: leaves that are short for theirs repeat."""
     documents = table(spark, folder, "documents").withColumn("n_tokens", mix_tokens())
-    half = F.floor(F.col("total") / 2)
-    taken = budgets.mix(documents, mix_levels(), MIX_WEIGHTS, half, F.col("n_tokens"), epoch="epoch")
+    once = F.floor(F.col("total") / MIX_EPOCHS)
+    taken = budgets.mix(documents, mix_levels(), MIX_WEIGHTS, once, F.col("n_tokens"), MIX_EPOCHS, epoch="epoch")
     return taken.select("doc_id", "lang", "source", "n_tokens", "epoch")
 
 

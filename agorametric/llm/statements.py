@@ -71,21 +71,27 @@ WITH numbered AS (
 ), named AS (
   SELECT doc_id, lang AS own_lang, source AS own_source, n_tokens, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
          CASE WHEN number = 0 THEN 'web' WHEN number < 10 THEN 'books' ELSE 'notes' END AS domain,
-         coalesce(n_tokens, 0) AS tokens, md5('0|0|' || coalesce(CAST(doc_id AS VARCHAR), '') || '|' || hash) AS place
+         coalesce(n_tokens, 0) AS tokens, coalesce(CAST(doc_id AS VARCHAR), '') || '|' || hash AS place
   FROM numbered
 ), leaves AS (
-  SELECT domain, lang, source, CAST(sum(tokens) AS BIGINT) AS supply FROM named GROUP BY ALL
+  SELECT domain, lang, source, CAST(sum(tokens) AS BIGINT) AS held, 3 * CAST(sum(tokens) AS BIGINT) AS supply FROM named GROUP BY ALL
 ), root AS (
-  SELECT CAST(CAST(coalesce(sum(supply), 0) AS BIGINT) // 2 AS DOUBLE) AS share FROM leaves
+  SELECT CAST(CAST(coalesce(sum(supply), 0) AS BIGINT) // 3 AS DOUBLE) AS share FROM leaves
 ), {_share("domains", "", "domain", _DOMAIN_WEIGHT, "leaves", "root")},
 {_share("langs", "domain, ", "lang", _LANG_WEIGHT, "leaves", "domains")},
 {_share("sources", "domain, lang, ", "source", "1", "leaves", "langs")},
-reached AS (
-  SELECT *, sum(tokens) OVER (PARTITION BY domain, lang, source ORDER BY place) AS reached FROM named
+passes AS (
+  SELECT domain, lang, source, held, CAST(floor(share) AS BIGINT) AS given,
+         CASE WHEN held = 0 THEN 0 ELSE CAST(floor(share) AS BIGINT) // held END AS whole
+  FROM sources JOIN leaves USING (domain, lang, source)
+), reached AS (
+  SELECT n.*, p.whole, p.given - p.whole * p.held AS rest,
+         sum(tokens) OVER (PARTITION BY n.domain, n.lang, n.source ORDER BY md5('0|' || p.whole || '|' || n.place)) AS reached
+  FROM named AS n JOIN passes AS p ON p.domain = n.domain AND p.lang = n.lang AND p.source = n.source
 )
-SELECT doc_id, own_lang AS lang, own_source AS source, n_tokens, CAST(0 AS BIGINT) AS epoch
-FROM reached AS r JOIN sources AS s ON s.domain = r.domain AND s.lang = r.lang AND s.source = r.source
-WHERE r.reached <= floor(s.share)
+SELECT doc_id, own_lang AS lang, own_source AS source, n_tokens,
+       CAST(unnest(range(whole + CASE WHEN whole < 3 AND reached <= rest THEN 1 ELSE 0 END)) AS BIGINT) AS epoch
+FROM reached
 """
 
 # Every query against every candidate.

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from agorametric.llm import budgets
 from agorametric.llm.common import prepare
-from agorametric.llm.queries import MIX_WEIGHTS, queries
+from agorametric.llm.queries import MIX_EPOCHS, MIX_WEIGHTS, queries
 
 
 def md5(text):
@@ -66,6 +66,8 @@ def plain_mix(rows, levels, weights, budget, epochs, seed):
         left = allotted - whole * held
         taken += [(at, epoch) for epoch in range(whole) for ats in units[leaf].values() for at in ats]
         for _, ats in sorted((md5(f"{seed}|{whole}|{row}"), ats) for row, ats in units[leaf].items()):
+            if whole == epochs:
+                break
             left -= sum(rows[at][3] for at in ats)
             if left < 0:
                 break
@@ -80,11 +82,12 @@ def test_whole_table(spark):
         (row["doc_id"], row["text"], (domain.get(row["source"], "notes"), row["lang"], row["source"]), (len(row["text"]) + 3) // 4)
         for row in documents
     ]
-    half = sum(row[3] for row in rows) // 2
-    exact = [(documents[at]["doc_id"], epoch) for at, epoch in plain_mix(rows, ["domain", "lang", "source"], MIX_WEIGHTS, half, 1, 0)]
+    held = sum(row[3] for row in rows)
+    exact = [(documents[at]["doc_id"], epoch) for at, epoch in plain_mix(rows, ["domain", "lang", "source"], MIX_WEIGHTS, held, MIX_EPOCHS, 0)]
     found = queries()["op7_budgets"](spark, SMALL).collect()
     assert sorted((row["doc_id"], row["epoch"]) for row in found) == sorted(exact)
-    assert 0.6 * half < sum(row["n_tokens"] for row in found) <= half
+    assert {row["epoch"] for row in found} == {0, 1, 2}
+    assert 0.6 * held < sum(row["n_tokens"] for row in found) <= held
 
 
 @pytest.mark.parametrize(("budget", "epochs"), [(0, 1), (90, 1), (260, 3), (10_000, 2)])
@@ -113,6 +116,13 @@ def test_empty_and_missing(spark):
     assert budgets.mix(frame.limit(0), **everything).count() == 0
 
 
+def test_rows_without_tokens_are_in_no_epoch_beyond_the_last(spark):
+    frame = prepare(spark).createDataFrame([(at, "" if at < 20 else "text", "s") for at in range(22)], "doc_id long, text string, source string")
+    for epochs in (1, 2):
+        taken = budgets.mix(frame, {"source": F.col("source")}, {}, F.col("total"), F.length("text"), epochs)
+        assert sorted(row["doc_id"] for row in taken.collect()) == sorted([*range(22)] * epochs)
+
+
 def test_columns_with_the_names_of_its_own(spark):
     own = ["epoch", "__row", "__whole", "__cut", "__tokens", "__source", "column 0", "row.name", "held", "total"]
     schema = "doc_id long, text string, source string, " + ", ".join(f"`{name}` string" for name in own)
