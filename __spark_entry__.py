@@ -22,6 +22,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parent))
 
 import oracle_queries  # noqa: E402
 from agorametric.operators.cells import DIMENSIONS, Cells  # noqa: E402
+from agorametric.operators.id_words import counted, id_words  # noqa: E402
 from agorametric.operators.keys import key_clashes, key_violations  # noqa: E402
 from agorametric.plans import audit, descriptive, diagnostic, marts, pipeline, staging, store, validation  # noqa: E402
 from agorametric.plans.cleaning import clean  # noqa: E402
@@ -187,6 +188,23 @@ def _clashes(spark: SparkSession, folder: str) -> DataFrame:
     return key_clashes(_spoilt(spark, folder), first, "id")
 
 
+def _distinct_of_loads(spark: SparkSession, folder: str) -> DataFrame:
+    """Rows and different ids by topic, from the stored words of two loads that share posts."""
+    spoilt = _spoilt(spark, folder).select("topic", F.when(F.col("id") % 5 == 0, -F.col("id")).otherwise(F.col("id")).alias("id"))
+    parts = {"first": F.col("id").isNull() | (F.col("id") % 3 != 0), "second": F.col("id") % 2 == 0}
+
+    def write(path: str) -> None:
+        for name, part in parts.items():
+            id_words(spoilt.where(part), "id", "topic").write.mode("overwrite").parquet(f"{path}/{name}")
+
+    def read(path: str) -> DataFrame:
+        return reduce(DataFrame.union, [spark.read.parquet(f"{path}/{name}") for name in parts])
+
+    words = _kept(spark, folder, "id-words", write, read)
+    everything = counted(words).withColumn("topic", F.lit("(all)"))
+    return counted(words, "topic").unionByName(everything)
+
+
 def _by_bins(spark: SparkSession, folder: str) -> DataFrame:
     """The report by stance with stored score bins."""
     rows = _rows(spark, folder)
@@ -282,6 +300,8 @@ _STORED = {
         f"appended_{name}": lambda spark, folder, name=name: _two_loads(spark, folder).mart(name)
         for name in ("vw_yearly_trends", "vw_monthly_trends", "vw_topic_analysis", "vw_gender_analysis")
     },
+    "appended_duplicates": lambda spark, folder: _two_loads(spark, folder).duplicates(),
+    "distinct_ids_of_loads": _distinct_of_loads,
     "key_violations": lambda spark, folder: key_violations(_spoilt(spark, folder), "id"),
     "audit_lat_spoilt": lambda spark, folder: audit.latitude(_spoilt(spark, folder)),
     "audit_lng_spoilt": lambda spark, folder: audit.longitude(_spoilt(spark, folder)),

@@ -10,6 +10,7 @@ from typing import NamedTuple
 from pyspark.sql import SparkSession
 
 from agorametric.operators.cells import DIMENSIONS, Cells
+from agorametric.operators.id_words import id_words
 from agorametric.operators.keys import require_key
 from agorametric.plans import marts, validation
 from agorametric.plans.cleaning import clean
@@ -28,6 +29,7 @@ class Tables(NamedTuple):
     cells: str
     bins: str
     marts: str
+    ids: str
 
 
 def locations(folder: str) -> Tables:
@@ -35,8 +37,11 @@ def locations(folder: str) -> Tables:
 
 
 def stage(spark: SparkSession, csv: str, folder: str, multi_line: bool = False) -> None:
-    """Replaces the staging table by the files' rows; any malformed row stops it."""
-    tables.write_raw(read_raw_csv(spark, csv, multi_line), locations(folder).raw)
+    """Replaces the staging table by the files' rows, and their ids' words; any malformed row stops it."""
+    at = locations(folder)
+    tables.write_raw(read_raw_csv(spark, csv, multi_line), at.raw)
+    words = id_words(tables.read_raw(spark, at.raw), "id")
+    words.write.mode("overwrite").option("compression", tables.CODEC).parquet(at.ids)
 
 
 def load_clean(spark: SparkSession, folder: str, settings: Settings = DEFAULTS, gather: bool = True) -> None:

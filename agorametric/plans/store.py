@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from agorametric.operators.cells import DIMENSIONS, Cells
+from agorametric.operators.id_words import counted, merged
 from agorametric.operators.keys import KeyViolation, key_clashes
 from agorametric.plans import pipeline
 from agorametric.session import STRICT, temporary_settings
@@ -52,6 +53,14 @@ class Snapshot(NamedTuple):
         """One row per stance and bin again, as the median needs them."""
         return Cells(self._union(lambda at: self.spark.read.parquet(at.bins)), merged=True).merge("stance", "bin")
 
+    def ids(self) -> DataFrame:
+        """The words of all loads' ids, those of each load by themselves."""
+        return self._union(lambda at: self.spark.read.parquet(at.ids))
+
+    def duplicates(self) -> DataFrame:
+        """The audit's counts of rows and ids over all loads, without reading the posts again."""
+        return counted(self.ids())
+
     def mart(self, name: str) -> DataFrame:
         """As published by the last load."""
         return self.spark.read.parquet(f"{pipeline.locations(self.parts[-1]).marts}/{name}")
@@ -126,5 +135,6 @@ def compact(spark: SparkSession, root: str, settings: Settings = DEFAULTS, gathe
         tables.write_clean(before.clean(), at.clean, gather)
         for cells, path in ((before.cells().merge(*DIMENSIONS), at.cells), (before.bins(), at.bins)):
             cells.frame.write.option("compression", tables.CODEC).parquet(path)
+        merged(before.ids()).write.option("compression", tables.CODEC).parquet(at.ids)
         pipeline.publish_marts(Cells(spark.read.parquet(at.cells), merged=True), part, settings)
     return _commit(spark, root, [part], before)

@@ -658,6 +658,13 @@ def _statements() -> dict[str, str]:
     found["desc_sentiment_by_stance_bins"] = found["desc_sentiment_by_stance"]
     found["diag_correlations_cells"] = found["diag_correlations"]
     found["appended_correlations"] = found["diag_correlations"]
+    found["appended_duplicates"] = found["audit_duplicates"]
+    counts = f"{whole('count(*)')} AS total_rows, {whole('count(DISTINCT id)')} AS distinct_ids, {whole('count(*) - count(DISTINCT id)')} AS duplicate_rows"
+    found["distinct_ids_of_loads"] = (
+        f"{_RAW}, {_SPOILT}, signed AS (SELECT topic, CASE WHEN id % 5 = 0 THEN -id ELSE id END AS id FROM spoilt),"
+        " loads AS (SELECT * FROM signed WHERE id IS NULL OR id % 3 <> 0 UNION ALL SELECT * FROM signed WHERE id % 2 = 0)"
+        f" SELECT topic, {counts} FROM loads GROUP BY topic UNION ALL SELECT '(all)' AS topic, {counts} FROM loads"
+    )
     for name in ("clean_tweets", "vw_yearly_trends", "vw_monthly_trends", "vw_topic_analysis", "vw_gender_analysis"):
         found[f"appended_{name}"] = found[name]
     for name in [name for name in found if name.startswith("vw_")]:

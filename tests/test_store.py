@@ -33,6 +33,8 @@ def test_two_loads_equal_one(spark, two_loads, sample, posts):
         expected = marts.mart(name, posts)
         assert rows_of(found.mart(name), *expected.columns) == rows_of(expected, *expected.columns)
     assert diagnostic.correlations(found.cells()).collect() == diagnostic.correlations(posts).collect()
+    assert tuple(found.duplicates().first()) == (1500, 1500, 0)
+    assert sorted(file.rsplit("/ids/")[0].split("/")[-1] for file in found.ids().inputFiles())[0] in {part.split("/")[-1] for part in found.parts}
     clean_rows = Cells.of_rows(found.clean())
     assert descriptive.sentiment_by_stance(clean_rows, found.bins()).collect() == descriptive.sentiment_by_stance(posts).collect()
 
@@ -53,6 +55,7 @@ def test_compaction_changes_nothing(spark, two_loads, posts):
     for name in ("vw_yearly_trends", "vw_executive_insights"):
         assert rows_of(after.mart(name), *marts.mart(name, posts).columns) == rows_of(before.mart(name), *marts.mart(name, posts).columns)
     assert before.raw().count() == 1500
+    assert after.duplicates().collect() == before.duplicates().collect() and after.ids().count() <= before.ids().count()
 
 
 @pytest.mark.parametrize("gather", [True, False])
