@@ -30,6 +30,7 @@ from agorametric.schemas import RAW  # noqa: E402
 from agorametric.session import configure, scratch_path  # noqa: E402
 from agorametric.settings import DEFAULTS  # noqa: E402
 from agorametric.sources import tables  # noqa: E402
+from agorametric.sources.clustered import write_clustered  # noqa: E402
 from agorametric.sources.delimited import read_raw_csv, write_raw_csv  # noqa: E402
 from agorametric.sources.sample_posts import sample_raw  # noqa: E402
 
@@ -205,6 +206,25 @@ def _distinct_of_loads(spark: SparkSession, folder: str) -> DataFrame:
     return counted(words, "topic").unionByName(everything)
 
 
+def _clustered(spark: SparkSession, folder: str) -> DataFrame:
+    """The clean table along a curve over several columns."""
+    rows = _clean_table(spark, folder)
+    return _kept(
+        spark,
+        folder,
+        "clustered",
+        lambda path: write_clustered(rows, path),
+        lambda path: spark.read.schema(rows.schema).parquet(path),
+    )
+
+
+def _in_box(spark: SparkSession, folder: str) -> DataFrame:
+    """Posts of a part of the map and of time."""
+    (south, north), (west, east), (first, last) = oracle_queries.BOX
+    box = F.col("lat").between(south, north) & F.col("lng").between(west, east) & F.year("tweet_timestamp").between(first, last)
+    return _clustered(spark, folder).where(box)
+
+
 def _by_bins(spark: SparkSession, folder: str) -> DataFrame:
     """The report by stance with stored score bins."""
     rows = _rows(spark, folder)
@@ -291,6 +311,8 @@ _STORED = {
     "ingest_csv": _ingested,
     "ingest_csv_breaks": _ingested_breaks,
     "clean_layout": lambda spark, folder: _clean_table(spark, folder),
+    "clean_clustered": _clustered,
+    "clean_box": _in_box,
     "clean_reconcile": _reconciled,
     "mart_from_cells": lambda spark, folder: marts.mart("vw_executive_insights", _cells(spark, folder)),
     "key_clashes": _clashes,

@@ -19,6 +19,9 @@ SPOILT = {
     "temperature_avg": {70: "1e3", 71: "n/a", 73: "-400.00000000000000000001", 79: "-5.2199999999999995e-05", 89: "12345678901234567890.25"},
 }
 
+# Degrees north, degrees east and years of the posts in `clean_box`.
+BOX = (30, 60), (-100, 20), (2010, 2015)
+
 # Fixed value: what counts as a number.
 _NUMBER = r"-?[0-9]+\.?[0-9]*([eE][+-]?[0-9]+)?"
 
@@ -658,6 +661,12 @@ def _statements() -> dict[str, str]:
     found["desc_sentiment_by_stance_bins"] = found["desc_sentiment_by_stance"]
     found["diag_correlations_cells"] = found["diag_correlations"]
     found["appended_correlations"] = found["diag_correlations"]
+    found["clean_clustered"] = found["clean_tweets"]
+    (south, north), (west, east), (first, last) = BOX
+    found["clean_box"] = (
+        f"SELECT * FROM ({found['clean_tweets']}) AS posts WHERE lat BETWEEN {south} AND {north}"
+        f" AND lng BETWEEN {west} AND {east} AND tweet_year BETWEEN {first} AND {last}"
+    )
     found["appended_duplicates"] = found["audit_duplicates"]
     counts = f"{whole('count(*)')} AS total_rows, {whole('count(DISTINCT id)')} AS distinct_ids, {whole('count(*) - count(DISTINCT id)')} AS duplicate_rows"
     found["distinct_ids_of_loads"] = (

@@ -129,6 +129,9 @@ def final_plan(text):
 SCANS = {
     "appended_clean_tweets": 2,
     "appended_correlations": 2,
+    # Two loads; by topic and over all.
+    "appended_duplicates": 2,
+    "distinct_ids_of_loads": 4,
     "audit_numbers": 2,
     "clean_reconcile": 2,
     "clean_layout": 1,
