@@ -25,8 +25,10 @@ def key_clashes(batch: DataFrame, stored: DataFrame, key: str) -> DataFrame:
     The stored side is one column of the row groups within the batch's range of keys. It stays where it is for a batch
     of up to `BROADCAST_KEYS` keys; a larger one is joined by hash, behind the planner's own Bloom filter.
     """
-    keys = batch.select(F.col(key).alias("key")).where("key IS NOT NULL").distinct()
-    low, high, count = keys.agg(F.min("key"), F.max("key"), F.count("key")).first()
+    present = batch.select(F.col(key).alias("key")).where("key IS NOT NULL")
+    # Repeated keys count here, which saves a shuffle of them all.
+    low, high, count = present.agg(F.min("key"), F.max("key"), F.count("key")).first()
+    keys = present.distinct()
     # A literal range reaches the Parquet reader.
     near = stored.where(F.col(key).between(F.lit(low), F.lit(high))) if low is not None else stored.limit(0)
     asked = F.broadcast(keys) if count <= BROADCAST_KEYS else keys
@@ -35,6 +37,8 @@ def key_clashes(batch: DataFrame, stored: DataFrame, key: str) -> DataFrame:
 
 
 def require_key(frame: DataFrame, key: str) -> None:
-    found = key_violations(frame, key).head(1)
+    """The smallest violation is told. An aggregate looks at all partitions at once; `head` goes on to the next few
+    after it has found none in some, and a good key has none in any."""
+    found = key_violations(frame, key).agg(F.min(F.struct(F.col(key), F.col("n")))).first()[0]
     if found:
-        raise KeyViolation(f"{key}={found[0][0]} occurs {found[0]['n']} time(s); it must be unique and not NULL")
+        raise KeyViolation(f"{key}={found[0]} occurs {found['n']} time(s); it must be unique and not NULL")

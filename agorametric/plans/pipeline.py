@@ -5,6 +5,7 @@ Tables are replaced where they lie, one after the other. `plans.store` makes suc
 
 from __future__ import annotations
 
+from functools import partial
 from typing import NamedTuple
 
 from pyspark.sql import SparkSession
@@ -15,7 +16,7 @@ from agorametric.operators.keys import require_key
 from agorametric.plans import marts, validation
 from agorametric.plans.cleaning import clean
 from agorametric.plans.descriptive import score_bins
-from agorametric.session import STRICT, temporary_settings
+from agorametric.session import STRICT, temporary_settings, together
 from agorametric.settings import DEFAULTS, Settings
 from agorametric.sources import tables
 from agorametric.sources.delimited import read_raw_csv
@@ -59,9 +60,12 @@ def merge_cells(spark: SparkSession, folder: str) -> None:
     """One row per combination of dimensions, from which all marts are built, and one per stance and score bin."""
     at = locations(folder)
     rows = Cells.of_rows(tables.read_clean(spark, at.clean))
-    for cells, path in ((rows.merge(*DIMENSIONS), at.cells), (score_bins(rows), at.bins)):
+
+    def store(cells: Cells, path: str) -> None:
         cells.frame.write.mode("overwrite").option("compression", tables.CODEC).parquet(path)
 
+    together(spark, partial(store, rows.merge(*DIMENSIONS), at.cells), partial(store, score_bins(rows), at.bins))
+
 
 def read_cells(spark: SparkSession, folder: str) -> Cells:
     return Cells(spark.read.parquet(locations(folder).cells), merged=True)
@@ -72,11 +76,14 @@ def read_bins(spark: SparkSession, folder: str) -> Cells:
 
 
 def publish_marts(cells: Cells, folder: str, settings: Settings = DEFAULTS) -> None:
-    """Each mart as a Parquet table for dashboards, which order what they show."""
-    for name in marts.MARTS:
+    """Each mart as a Parquet table for dashboards, which order what they show. Each is a short job of its own."""
+
+    def publish(name: str) -> None:
         rows = marts.mart(name, cells, settings, ordered=False)
         rows.write.mode("overwrite").option("compression", tables.CODEC).parquet(f"{locations(folder).marts}/{name}")
 
+    together(cells.frame.sparkSession, *(partial(publish, name) for name in marts.MARTS))
+
 
 def register(spark: SparkSession, folder: str, settings: Settings = DEFAULTS) -> None:
     """The stored tables and the marts as views for `spark.sql`, the marts computed from the cells."""

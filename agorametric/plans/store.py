@@ -84,7 +84,8 @@ def current(spark: SparkSession, root: str) -> Snapshot | None:
 
 def _commit(spark: SparkSession, root: str, parts: list[str], before: Snapshot | None) -> Snapshot:
     number = before.number + 1 if before else 1
-    record = spark.createDataFrame([(number, parts)], _RECORD).coalesce(1)
+    # From constants, as rows of the driver's would start a Python worker.
+    record = spark.range(0, 1, 1, 1).select(F.lit(number).cast("bigint").alias("number"), F.array(*map(F.lit, parts)).alias("parts"))
     record.write.mode("append").json(_commits(root))
     if spark.read.schema(_RECORD).json(_commits(root)).where(F.col("number") == number).count() != 1:
         raise RuntimeError(f"two loads committed number {number} at once; run the later one again")
@@ -114,9 +115,10 @@ def append(
     with temporary_settings(spark, STRICT):
         pipeline.stage(spark, csv, part, multi_line)
         staged = tables.read_raw(spark, pipeline.locations(part).raw)
-        found = key_clashes(staged.select("id"), before.raw().select("id"), "id").head(1)
-        if found:
-            raise KeyViolation(f"id={found[0][0]} is already stored")
+        # All partitions at once, where `head` would go through them in turn.
+        found = key_clashes(staged.select("id"), before.raw().select("id"), "id").agg(F.min("id")).first()[0]
+        if found is not None:
+            raise KeyViolation(f"id={found} is already stored")
         pipeline.load_clean(spark, part, settings, gather)
         pipeline.merge_cells(spark, part)
         after = Snapshot(spark, before.number + 1, [*before.parts, part])

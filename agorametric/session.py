@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from contextlib import contextmanager
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import SparkSession
 
 _own_folders: dict[str, str] = {}
@@ -53,6 +55,22 @@ def temporary_settings(spark: SparkSession, values: dict[str, str]) -> Iterator[
                 spark.conf.set(key, value)
 
 
+# Independent steps that run at the same time; more would only wait for each other's tasks.
+AT_ONCE = 4
+
+
+def together(spark: SparkSession, *steps: Callable[[], None]) -> None:
+    """Runs steps that don't need each other's results, so that one's tasks fill the cores another leaves idle.
+
+    They start under the caller's settings, which no step may change. All have ended when this returns, or raises what
+    the first failing step raised.
+    """
+    with ThreadPoolExecutor(AT_ONCE) as pool:
+        running = [pool.submit(inheritable_thread_target(spark)(step)) for step in steps]
+    for one in running:
+        one.result()
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path under the folder the cluster shares (`spark.checkpoint.dir`).
 

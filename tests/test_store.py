@@ -1,14 +1,17 @@
 from __future__ import annotations
 
+import threading
+
 import pytest
 from conftest import plan_of, rows_of
 from pyspark.sql import functions as F
 
 from agorametric.operators import keys
 from agorametric.operators.cells import Cells
-from agorametric.operators.keys import KeyViolation, key_clashes
+from agorametric.operators.keys import KeyViolation, key_clashes, require_key
 from agorametric.plans import descriptive, diagnostic, marts, pipeline, store
 from agorametric.plans.cleaning import clean
+from agorametric.session import temporary_settings, together
 from agorametric.sources.delimited import write_raw_csv
 
 
@@ -112,3 +115,59 @@ def test_key_clashes(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(keys, "BROADCAST_KEYS", 0)
     assert sorted(row["id"] for row in key_clashes(batch, stored, "id").collect()) == [-4999, 7]
     assert key_clashes(batch.limit(0), stored, "id").count() == 0
+
+
+def test_key_checks_look_at_all_partitions_at_once(spark):
+    """A good key has no violation in any partition; they are not searched a few at a time."""
+    context = spark.sparkContext
+    many = {"spark.sql.shuffle.partitions": "60", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    with temporary_settings(spark, many):
+        context.setJobGroup("one key check", "")
+        try:
+            require_key(spark.range(0, 1000, 1, 4), "id")
+        finally:
+            context.setLocalProperty("spark.jobGroup.id", None)
+    # Two shuffles and the result.
+    assert len(context.statusTracker().getJobIdsForGroup("one key check")) <= 3
+    with pytest.raises(KeyViolation, match=r"id=None occurs 2 time"):
+        require_key(spark.createDataFrame([(9,), (9,), (None,), (None,)], "id long"), "id")
+
+
+def test_marts_are_published_side_by_side(spark, posts, tmp_path, monkeypatch):
+    """Two have begun before either has ended; the tables are the same."""
+    build, met, waiting = marts.mart, threading.Barrier(2), iter(range(2))
+
+    def begun(name, *given, **options):
+        if next(waiting, None) is not None:
+            met.wait(timeout=60)
+        return build(name, *given, **options)
+
+    monkeypatch.setattr(marts, "mart", begun)
+    pipeline.publish_marts(posts, str(tmp_path))
+    for name in marts.MARTS:
+        expected = build(name, posts)
+        found = spark.read.parquet(f"{pipeline.locations(str(tmp_path)).marts}/{name}")
+        assert rows_of(found, *expected.columns) == rows_of(expected, *expected.columns)
+
+
+def test_a_failing_step_is_told_after_all_have_ended(spark):
+    done = []
+
+    def fail():
+        raise ValueError("bad step")
+
+    with pytest.raises(ValueError, match="bad step"):
+        together(spark, fail, *(lambda at=at: done.append(spark.range(at).count()) for at in range(6)))
+    assert sorted(done) == list(range(6))
+
+
+def test_stored_tables_follow_the_input_files(spark, tmp_path):
+    """Told by the files, of which some hold no rows; the rows are not read for it."""
+    import __spark_entry__ as entry
+
+    orders = str(tmp_path / "orders.parquet")
+    spark.range(3).coalesce(1).write.parquet(orders)
+    one = entry._identity(spark, str(tmp_path))
+    assert one[0] == 1 and one == entry._identity(spark, str(tmp_path))
+    spark.range(0).coalesce(1).write.mode("append").parquet(orders)
+    assert entry._identity(spark, str(tmp_path))[0] == 2
