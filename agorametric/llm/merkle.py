@@ -14,6 +14,8 @@ give an empty table, and an empty second replica lacks every record. Other colum
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,6 +25,9 @@ from agorametric.llm.common import stored
 LEAF_BYTES = 1 << 16
 FANOUT = 16
 
+# Inner levels hashed after one shuffle; a task then holds whole groups of `FANOUT ** LEVELS_AT_ONCE` nodes.
+LEVELS_AT_ONCE = 3
+
 # Pages of one file.
 FILE_PAGES = 512
 
@@ -53,7 +58,7 @@ def records_of(pages: DataFrame, **others: Column) -> DataFrame:
     A file holds the pages of a range of ids, in the order of id and hash; pages without an id are spread over files
     by their url. Only hashes and lengths are shuffled. Equal pages are counted first and placed in blocks of copies;
     a file's offsets are sums over its shares (of one id and one start of the hash) and then within a share, so that no
-    task holds a file of any size.
+    task holds a file of any size. Sums within shares and the join with the shares' begins take the same shuffle.
     """
     text = warc_record(F.col("url"), F.col("page_id"), F.col("html"))
     spread = F.concat(F.lit("none-"), F.substring(F.md5(F.coalesce(F.col("url"), F.lit(""))), 1, 3))
@@ -65,25 +70,25 @@ def records_of(pages: DataFrame, **others: Column) -> DataFrame:
         F.sha2(text, 256).alias("sha256"),
         *[column.alias(name) for name, column in others.items()],
     )
-    share = F.substring("sha256", 1, 2)
-    different = stored(slim.groupBy(*slim.columns).agg(F.count("*").alias("copies")).withColumn("share", share), "pages")
+    # Pages of one file either all have an id or none has, so 0 for a missing id mixes nothing.
+    share = ["file", "of_page", "share"]
+    different = slim.groupBy(*slim.columns).agg(F.count("*").alias("copies"))
+    keyed = different.withColumns({"of_page": F.coalesce("page_id", F.lit(0)), "share": F.substring("sha256", 1, 2)})
+    different = stored(keyed, "pages")
     size = F.sum(F.col("length") * F.col("copies"))
     before = Window.rowsBetween(Window.unboundedPreceding, -1)
-    in_file = before.partitionBy("file").orderBy("page_id", "share")
-    shares = different.groupBy("file", "page_id", "share").agg(size.alias("size"))
-    begins = shares.select(
-        F.col("file").alias("in_file"),
-        F.col("page_id").alias("of_page"),
-        F.col("share").alias("of_share"),
-        F.coalesce(F.sum("size").over(in_file), F.lit(0)).alias("begin"),
-    )
-    same = (F.col("file") == F.col("in_file")) & F.col("page_id").eqNullSafe(F.col("of_page")) & (F.col("share") == F.col("of_share"))
-    in_share = before.partitionBy("file", "page_id", "share").orderBy("sha256", *others)
-    placed = different.join(begins, same).withColumn("begin", F.col("begin") + F.coalesce(size.over(in_share), F.lit(0)))
+    in_file = before.partitionBy("file").orderBy("of_page", "share")
+    shares = different.groupBy(*share).agg(size.alias("size"))
+    begins = shares.select(*share, F.coalesce(F.sum("size").over(in_file), F.lit(0)).alias("share_begin"))
+    in_share = before.partitionBy(*share).orderBy("sha256", *others)
+    within = different.withColumn("within", F.coalesce(size.over(in_share), F.lit(0)))
+    placed = within.join(begins, share).withColumn("begin", F.col("share_begin") + F.col("within"))
     # Many copies of one page are blocks first, so that they are spread over tasks.
     blocks = placed.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("copies") - 1, F.lit(COPIES_AT_ONCE))))
     last = F.least(F.col("block") + COPIES_AT_ONCE, F.col("copies")) - 1
-    copies = blocks.repartition("file", "begin", "block").withColumn("copy", F.explode(F.sequence(F.col("block"), last)))
+    if (different.agg(F.max("copies")).first()[0] or 0) > COPIES_AT_ONCE:
+        blocks = blocks.repartition("file", "begin", "block")
+    copies = blocks.withColumn("copy", F.explode(F.sequence(F.col("block"), last)))
     return copies.select(*slim.columns, (F.col("begin") + F.col("copy") * F.col("length")).alias("offset"))
 
 
@@ -96,19 +101,51 @@ def _hashed(*parts: str) -> Column:
 
 def tree(records: DataFrame, leaf_bytes: int = LEAF_BYTES, fanout: int = FANOUT) -> list[DataFrame]:
     """One replica's levels of nodes from the leaves up to a root per file: file, node, hash."""
+    return _levels(records, ["file"], leaf_bytes, fanout)
+
+
+def trees(left: DataFrame, right: DataFrame, leaf_bytes: int = LEAF_BYTES, fanout: int = FANOUT) -> tuple[list[DataFrame], ...]:
+    """Both replicas' levels, each from its own records and of one height, by the same jobs."""
+    both = left.withColumn("is_left", F.lit(True)).unionByName(right.withColumn("is_left", F.lit(False)))
+    levels = _levels(both, ["is_left", "file"], leaf_bytes, fanout)
+    return tuple([level.where(side).drop("is_left") for level in levels] for side in ("is_left", "NOT is_left"))
+
+
+def _levels(records: DataFrame, of: list[str], leaf_bytes: int, fanout: int) -> list[DataFrame]:
     leaf = records.withColumn("node", F.floor(F.col("offset") / leaf_bytes))
-    levels = [stored(leaf.groupBy("file", "node").agg(_hashed("offset", "length", "sha256").alias("hash")), "level")]
-    top = levels[0].agg(F.max("node")).first()[0] or 0
+    levels = [stored(leaf.groupBy(*of, "node").agg(_hashed("offset", "length", "sha256").alias("hash")), "level")]
+    top, height = levels[0].agg(F.max("node")).first()[0] or 0, 0
     while top > 0:
-        levels.append(_above(levels[-1], fanout))
-        top //= fanout
+        top, height = top // fanout, height + 1
+    while height > 0:
+        levels += _above(levels[-1], of, fanout, min(height, LEVELS_AT_ONCE))
+        height -= LEVELS_AT_ONCE
     return levels
 
 
-def _above(level: DataFrame, fanout: int) -> DataFrame:
-    children = level.select("file", F.col("node").alias("child"), F.col("hash").alias("below"))
-    above = children.withColumn("node", F.floor(F.col("child") / fanout))
-    return stored(above.groupBy("file", "node").agg(_hashed("child", "below").alias("hash")), "level")
+def _splits(*levels: DataFrame) -> int:
+    """Parts in which stored nodes are read: enough tasks for what comes of them, as these are not more rows."""
+    return max(level.rdd.getNumPartitions() for level in levels) or 1
+
+
+def _above(level: DataFrame, of: list[str], fanout: int, height: int = 1) -> list[DataFrame]:
+    """So many levels above the given one. Nodes that meet within them are shuffled together, once for all the levels."""
+
+    def parent(node: Column) -> Column:
+        return F.floor(node / fanout)
+
+    meet = reduce(lambda node, _: parent(node), range(height), F.col("node"))
+    nothing = F.array().cast("array<struct<height: int, node: bigint, hash: string>>")
+    rows = level.select(*of, meet.alias("meet"), "node", "hash", nothing.alias("inner")).repartition(*of, "meet")
+    for at in range(1, height + 1):
+        children = rows.select(*of, "meet", F.col("node").alias("child"), F.col("hash").alias("below"), "inner")
+        above = children.withColumn("node", parent(F.col("child"))).groupBy(*of, "meet", "node")
+        found = above.agg(_hashed("child", "below").alias("hash"), F.flatten(F.collect_list("inner")).alias("inner"))
+        node = F.struct(F.lit(at).alias("height"), "node", "hash")
+        rows = found.withColumn("inner", F.concat("inner", F.array(node)))
+    inner = rows.select(*of, F.explode("inner").alias("inner")).select(*of, "inner.*")
+    inner = stored(inner.coalesce(_splits(level)), "level")
+    return [inner.where(F.col("height") == at).drop("height") for at in range(1, height + 1)]
 
 
 def differing_leaves(left: list[DataFrame], right: list[DataFrame], fanout: int = FANOUT) -> DataFrame | None:
@@ -116,9 +153,10 @@ def differing_leaves(left: list[DataFrame], right: list[DataFrame], fanout: int
     left, right = list(left), list(right)
     for levels, other in ((left, right), (right, left)):
         while len(levels) < len(other):
-            levels.append(_above(levels[-1], fanout))
+            levels += _above(levels[-1], ["file"], fanout)
     found = None
     for level, other in zip(reversed(left), reversed(right)):
+        splits = _splits(level, other)
         if found is not None:
             branches = found.withColumnRenamed("node", "parent")
             level, other = (
@@ -126,7 +164,8 @@ def differing_leaves(left: list[DataFrame], right: list[DataFrame], fanout: int
                 for side in (level, other)
             )
         nodes = level.select("file", "node", "hash").join(other.select("file", "node", F.col("hash").alias("other")), ["file", "node"], "full")
-        found = stored(nodes.where(~F.col("hash").eqNullSafe(F.col("other"))).select("file", "node"), "differing")
+        nodes = nodes.where(~F.col("hash").eqNullSafe(F.col("other"))).select("file", "node")
+        found = stored(nodes.coalesce(splits), "differing")
         if found.isEmpty():
             return None
     return found
@@ -141,7 +180,7 @@ def audit(left: DataFrame, right: DataFrame, leaf_bytes: int = LEAF_BYTES, fanou
         return stored(named.where("file IS NOT NULL AND offset IS NOT NULL"), "replica")
 
     left, right = placed(left), placed(right)
-    leaves = differing_leaves(tree(left, leaf_bytes, fanout), tree(right, leaf_bytes, fanout), fanout)
+    leaves = differing_leaves(*trees(left, right, leaf_bytes, fanout), fanout)
     if leaves is None:
         return left.sparkSession.createDataFrame([], "file string, offset long, length long, kind string, left_sha256 string, right_sha256 string")
     return differing_places(left, right, leaves, leaf_bytes)
@@ -155,25 +194,26 @@ def differing_places(left: DataFrame, right: DataFrame, leaves: DataFrame, leaf_
         inside = replica.withColumn("node", node).join(leaves, ["file", "node"], "left_semi")
         return inside.select("file", "offset", "length", "sha256", F.lit(is_left).alias("is_left"))
 
-    # One row per different record, with the replicas that have it: repeated rows are gone before lists are made.
-    sides = under(left, True).union(under(right, False))
-    inside = sides.groupBy("file", "offset", "length", "sha256").agg(
-        F.max("is_left").alias("in_left"), F.max(~F.col("is_left")).alias("in_right")
-    )
+    # Sets of different records: repeated rows are gone before they are shuffled.
+    def records(side: Column) -> Column:
+        return F.sort_array(F.collect_set(F.when(side, F.struct("length", "sha256"))))
 
     def hashes(side: str) -> Column:
-        return F.array_join(F.sort_array(F.collect_set(F.when(F.col(side), F.col("sha256")))), ",")
-
-    def length(side: str) -> Column:
-        return F.max(F.when(F.col(side), F.col("length")))
-
-    places = inside.groupBy("file", "offset").agg(
-        F.coalesce(length("in_left"), length("in_right")).alias("length"),
-        hashes("in_left").alias("left_sha256"),
-        hashes("in_right").alias("right_sha256"),
-        F.max("in_left").alias("has_left"),
-        F.max("in_right").alias("has_right"),
-        F.min(F.col("in_left") & F.col("in_right")).alias("same"),
+        named = F.filter(F.col(side)["sha256"], lambda sha256: sha256.isNotNull())
+        return F.array_join(F.sort_array(F.array_distinct(named)), ",")
+
+    sides = under(left, True).union(under(right, False))
+    places = sides.groupBy("file", "offset").agg(
+        records(F.col("is_left")).alias("left"), records(~F.col("is_left")).alias("right")
+    )
+    places = places.where("left <> right").select(
+        "file",
+        "offset",
+        F.coalesce(F.array_max(F.col("left")["length"]), F.array_max(F.col("right")["length"])).alias("length"),
+        hashes("left").alias("left_sha256"),
+        hashes("right").alias("right_sha256"),
+        (F.size("left") > 0).alias("has_left"),
+        (F.size("right") > 0).alias("has_right"),
     )
     kind = F.when(~F.col("has_right"), "missing").when(~F.col("has_left"), "extra").otherwise("changed")
-    return places.where("NOT same").select("file", "offset", "length", kind.alias("kind"), "left_sha256", "right_sha256")
+    return places.select("file", "offset", "length", kind.alias("kind"), "left_sha256", "right_sha256")

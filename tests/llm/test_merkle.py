@@ -55,6 +55,43 @@ def test_against_a_direct_comparison(spark, leaf_bytes, fanout):
     assert sorted(map(tuple, found.collect()), key=str) == plain(left, right)
 
 
+def test_few_shuffles_however_many_levels(spark, monkeypatch):
+    shuffles, stored = [], merkle.stored
+
+    def counted(frame, name):
+        plan = frame._jdf.queryExecution().executedPlan().toString()
+        shuffles.append(0 if "Coalesce" in plan else plan.count("Exchange "))
+        return stored(frame, name)
+
+    monkeypatch.setattr(merkle, "stored", counted)
+    pages = [(id, f"u{id}", "x" * (id % 7)) for id in range(40)]
+    rows = merkle.records_of(prepare(spark).createDataFrame(pages, "page_id long, url string, html string"))
+    assert rows.count() == 40
+    # The rows that repeat are counted; a shuffle each for the shares' sums, the files', and the two sides of the join.
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert sum(shuffles) == 1 and plan.split("Initial Plan")[-1].count("Exchange ") <= 4
+    rows = stored(rows, "warc")
+    one, other = (side.select("file", "offset", "length", "sha256") for side in (rows, rows.where("page_id <> 9")))
+    shuffles.clear()
+    assert [row["kind"] for row in merkle.audit(one, other, 100, 2).collect()] == ["missing"]
+    # Only leaves are hashed in as many tasks as there are partitions, of both replicas at once.
+    assert sum(shuffles) == 1 and len(shuffles) > 5
+
+
+def test_levels_built_together_are_those_built_one_by_one(spark, monkeypatch):
+    left = [(file, at * 10, 10, f"{file}{at}", "") for file in "ab" for at in range(70)]
+    right = [row for row in left if row[1] % 170]
+    both = [replica(spark, side) for side in (left, right)]
+    together = merkle.trees(*both, 10, 2)
+    monkeypatch.setattr(merkle, "LEVELS_AT_ONCE", 1)
+    for levels, records in zip(together, both):
+        alone = merkle.tree(records, 10, 2)
+        assert len(levels) == len(alone) == 8
+        for level, same in zip(levels, alone):
+            columns = "file", "node", "hash"
+            assert sorted(level.select(*columns).collect()) == sorted(same.select(*columns).collect())
+
+
 def test_only_differing_branches_are_descended(spark):
     rows = [("a", at * 10, 10, str(at), "") for at in range(64)]
     whole, cut = (merkle.tree(replica(spark, part), 10, 4) for part in (rows, rows[:-1]))
