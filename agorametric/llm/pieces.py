@@ -33,6 +33,10 @@ _NEVER = float("-inf")
 WORDS_KEPT = 400_000
 LONGEST_KEPT = 48
 
+# Bytes of text whose new words are merged together, and the fewest words that are.
+TEXTS_AT_ONCE = 1 << 20
+FEWEST_AT_ONCE = 64
+
 
 class CharacterMap:
     """A double-array trie from byte strings to their replacements, as a model file stores it."""
@@ -147,6 +151,71 @@ def _well_formed(data: bytes) -> bool:
     return True
 
 
+class Merger:
+    """Merges many words side by side: symbols are numbers, and pairs of them that make a piece are a sorted table."""
+
+    def __init__(self, score: dict[str, float]) -> None:
+        number = {text: at for at, text in enumerate(dict.fromkeys([*score, *(char for text in score for char in text)]))}
+        self.texts = list(number)
+        # One symbol more stands for all characters that no piece has.
+        self._base = len(number) + 1
+        self._chars = np.full(0x110000, len(number), np.int32)
+        for text, at in number.items():
+            if len(text) == 1:
+                self._chars[ord(text)] = at
+        pairs = {}
+        for text, value in score.items():
+            for cut in range(1, len(text)):
+                left, right = number.get(text[:cut]), number.get(text[cut:])
+                if left is not None and right is not None:
+                    pairs[left * self._base + right] = value, number[text]
+        keys = sorted(pairs)
+        # The last entry is found for pairs that make no piece.
+        self._keys = np.array([*keys, np.iinfo(np.int64).max], np.int64)
+        self._scores = np.array([*(pairs[key][0] for key in keys), _NEVER])
+        self._merged = np.array([*(pairs[key][1] for key in keys), -1], np.int32)
+
+    def _pairs(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        keys = left * np.int64(self._base) + right
+        at = np.searchsorted(self._keys, keys)
+        return np.where(self._keys[at] == keys, at, len(self._keys) - 1)
+
+    def __call__(self, words: list[str]):
+        """Yields words' places, their numbers of symbols and these symbols, for the words that no round joins further.
+
+        A round joins the neighbours with the best score in each word, the leftmost of equals.
+        """
+        never = len(self._keys) - 1
+        word, sizes = np.arange(len(words)), np.fromiter(map(len, words), np.int64, len(words))
+        symbols = self._chars[np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)]
+        starts = np.cumsum(sizes) - sizes
+        pairs = np.append(self._pairs(symbols[:-1], symbols[1:]), never)
+        pairs[starts + sizes - 1] = never
+        scores = self._scores[pairs]
+        while len(word):
+            best = np.maximum.reduceat(scores, starts)
+            if (done := best == _NEVER).any():
+                inside = np.repeat(done, sizes)
+                yield word[done], sizes[done], symbols[inside]
+                symbols, pairs, scores = symbols[~inside], pairs[~inside], scores[~inside]
+                word, sizes, best = word[~done], sizes[~done], best[~done]
+                starts = np.cumsum(sizes) - sizes
+                if not len(word):
+                    return
+            equal = np.flatnonzero(scores == np.repeat(best, sizes))
+            at = equal[np.searchsorted(equal, starts)]
+            symbols[at] = self._merged[pairs[at]]
+            stays = np.ones(len(symbols), bool)
+            stays[at + 1] = False
+            symbols, pairs, scores = symbols[stays], pairs[stays], scores[stays]
+            earlier = np.arange(len(word))
+            at, starts, sizes = at - earlier, starts - earlier, sizes - 1
+            pairs[at], scores[at] = never, _NEVER
+            for near in (at[at < starts + sizes - 1], at[at > starts] - 1):
+                pairs[near] = found = self._pairs(symbols[near], symbols[near + 1])
+                scores[near] = self._scores[found]
+
+
 class Encoder:
     """Byte-pair encoding with a model file. `end` adds the end id, which stands at the end of the text."""
 
@@ -179,17 +248,41 @@ class Encoder:
         self._symbols = frozenset(symbols)
         self._words = _splitter(self._score, symbols)
         self._kept: dict[str, bytes] = {}
+        self._merger = Merger(self._score)
+        texts = self._merger.texts
+        self._token = np.array([*(self._id.get(text, self._unknown) for text in texts), self._unknown], np.int32)
+        self._width = np.array([*(len(text.encode()) for text in texts), 0], np.int32)
 
     def encode(self, data: bytes | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids, and the first byte and the byte after the last of each piece in the original text.
 
         Pieces of single bytes that make up one character are empty but for the last, which has the character.
         """
-        normal, offsets = self.normalize(data or b"")
-        words = self._words(normal.decode())
-        found = list(map(self._kept.get, words))
-        for at in [at for at, pieces in enumerate(found) if pieces is None] if None in found else ():
-            found[at] = self._look_up(words[at])
+        return self.encode_all([data])[0]
+
+    def encode_all(self, texts: list[bytes | None]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """The same for each text; words that are not in memory are merged together."""
+        parts, new = [], {}
+        for data in texts:
+            normal, offsets = self.normalize(data or b"")
+            words = self._words(normal.decode())
+            found, gaps, at = list(map(self._kept.get, words)), [], -1
+            for _ in range(found.count(None)):
+                at = found.index(None, at + 1)
+                gaps.append((at, words[at]))
+                new[words[at]] = b""
+            parts.append((data, offsets, found, gaps))
+        new = self._encode_words(list(new))
+        for _, _, found, gaps in parts:
+            for at, word in gaps:
+                found[at] = new[word]
+        kept = {word: pieces for word, pieces in new.items() if len(word) <= LONGEST_KEPT}
+        if len(self._kept) + len(kept) > WORDS_KEPT:
+            self._kept.clear()
+        self._kept.update(kept)
+        return [self._borders(data, offsets, found) for data, offsets, found, _ in parts]
+
+    def _borders(self, data: bytes | None, offsets: np.ndarray, found: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         pairs = np.frombuffer(b"".join(found), np.int32).reshape(-1, 2)
         tokens, widths = pairs[:, 0], pairs[:, 1]
         ends = np.cumsum(widths, dtype=np.int64)
@@ -213,16 +306,17 @@ class Encoder:
         last = np.append(first[1:], True) if len(tokens) else first
         return tokens[first], starts[first], ends[last]
 
-    def _look_up(self, word: str) -> bytes:
-        kept = self._kept
-        found = kept.get(word)
-        if found is None:
-            found = self._encode_word(word)
-            if len(word) <= LONGEST_KEPT:
-                if len(kept) >= WORDS_KEPT:
-                    kept.clear()
-                kept[word] = found
-        return found
+    def _encode_words(self, words: list[str]) -> dict[str, bytes]:
+        """Each word's pairs of id and bytes; long words, symbols and words with unknown characters go one by one."""
+        found = {}
+        short = [word for word in words if len(word) <= LONGEST_KEPT and word not in self._symbols]
+        for places, sizes, symbols in self._merger(short) if len(short) >= FEWEST_AT_ONCE else ():
+            tokens, ends = self._token[symbols], np.cumsum(sizes)
+            pairs = np.column_stack([tokens, self._width[symbols]]).tobytes()
+            known = np.add.reduceat(tokens == self._unknown, ends - sizes, dtype=np.int64) == 0
+            for place, start, end in zip(*(each[known].tolist() for each in (places, (ends - sizes) * 8, ends * 8))):
+                found[short[place]] = pairs[start:end]
+        return found | {word: self._encode_word(word) for word in words if word not in found}
 
     def _encode_word(self, word: str) -> bytes:
         """Pairs of id and bytes of normalised text."""
@@ -318,8 +412,8 @@ def encode(documents: DataFrame, model: str, text: str = "text", keep: tuple[str
     def run(batch: pa.RecordBatch):
         coder = encoder(model, end)
         texts = batch.column("__text").to_pylist()
-        for start, stop in slices(texts):
-            found = [coder.encode(data) for data in texts[start:stop]]
+        for start, stop in slices(texts, TEXTS_AT_ONCE):
+            found = coder.encode_all(texts[start:stop])
             borders = np.cumsum([0, *[len(ids) for ids, _, _ in found]], dtype=np.int32)
             lists = [
                 pa.ListArray.from_arrays(pa.array(borders), pa.array(np.concatenate(parts).astype(np.int32)))

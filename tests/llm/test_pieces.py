@@ -70,6 +70,26 @@ def test_long_words_merge_like_short_ones():
         assert ENCODER.encode(text.encode())[0].tolist() == LIBRARY.encode(text, add_eos=True)
 
 
+def test_new_words_merge_side_by_side_like_one_by_one(monkeypatch):
+    drawn = np.random.default_rng(5)
+    letters = list("aabcdeeeehiinnorsttüß.%") + ["the", "ing", "é", "🎉", "가", "<s>", "▁"]
+    texts = [" ".join("".join(drawn.choice(letters, drawn.integers(1, 14))) for _ in range(40)) for _ in range(50)]
+    texts += ["", "\n", " ".join("a" * size for size in range(70)), " ".join("ti" * size for size in range(1, 40)), None]
+    data = [text if text is None else text.encode() for text in texts]
+    together, alone = pieces.Encoder(piece_model()), pieces.Encoder(piece_model())
+    found = together.encode_all(data)
+    for text, given, (ids, starts, ends) in zip(texts, data, found):
+        assert ids.tolist() == LIBRARY.encode(text or "", add_eos=True)
+        assert all(np.array_equal(one, other) for one, other in zip((ids, starts, ends), alone.encode(given)))
+    # Words of known letters are merged in no loop over words, also when memory is full.
+    known = [" ".join(f"{first}{text}" for text in "the ining eanst erati ound".split()).encode() for first in "abcdefghijklmnop"]
+    monkeypatch.setattr(pieces, "WORDS_KEPT", 10)
+    monkeypatch.setattr(pieces.Encoder, "_merge", lambda self, word: pytest.fail(word))
+    fresh = pieces.Encoder(piece_model())
+    for _ in range(2):
+        assert [ids.tolist() for ids, _, _ in fresh.encode_all(known)] == LIBRARY.encode([text.decode() for text in known], add_eos=True)
+
+
 def test_whole_table(spark):
     texts = {row["doc_id"]: row["text"] or "" for row in pq.read_table(Path(SMALL) / "documents.parquet").to_pylist()}
     found = queries()["op2_sentencepiece"](spark, SMALL).collect()
